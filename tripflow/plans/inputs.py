@@ -13,6 +13,8 @@ from tripflow.functions.calendar import add_pickup_calendar, hour_floor
 from tripflow.functions.fares import add_trip_columns
 from tripflow.functions.text import VENUE_CAPACITY
 from tripflow.operators import enrich, quality
+from tripflow.session import shared_folder
+from tripflow.sources.sinks import save_trips
 from tripflow.sources.trips import unify_services
 
 # Limits that fit the derived inputs: zones 1-23 are valid, 1-3 are airports.
@@ -54,7 +56,7 @@ def pick(values, index: Column) -> Column:
 
 
 def plus_seconds(ts: Column, seconds: Column) -> Column:
-    return ts + F.make_dt_interval(secs=seconds)
+    return F.timestamp_add("SECOND", seconds, ts)
 
 
 # ---- zones and trips --------------------------------------------------------
@@ -141,34 +143,66 @@ def fhvhv_raw(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# ---- landed tables ----------------------------------------------------------
+
+_LANDED: dict[tuple[str, str, str], str] = {}
+
+
+def landed(spark: SparkSession, sf: str, name: str, write) -> DataFrame:
+    """The table ``write(path)`` stores in the shared folder, written once per session.
+
+    Raw trips land as files and clean trips as a table by month, as they would in
+    production; every query on them is then a pruned scan of that table.
+    """
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _LANDED:
+        path = shared_folder(spark, name)
+        write(path)
+        _LANDED[key] = path
+    return spark.read.parquet(_LANDED[key])
+
+
+def _landed_raw(spark: SparkSession, sf: str, name: str, derive) -> DataFrame:
+    return landed(spark, sf, name, lambda path: derive(spark, sf).write.parquet(path))
+
+
+def _landed_trips(spark: SparkSession, sf: str, name: str, raw: DataFrame, service) -> DataFrame:
+    """Clean trips with zones, derived and calendar columns, by year and month."""
+
+    def write(path: str) -> None:
+        trips = (
+            quality.clean(raw, service)
+            .transform(enrich.join_zones, zones(spark, sf))
+            .transform(add_trip_columns, service)
+            .transform(add_pickup_calendar)
+        )
+        save_trips(trips, path)
+
+    return landed(spark, sf, name, write)
+
+
 def yellow_loaded(spark: SparkSession, sf: str) -> DataFrame:
-    return yellow_raw(spark, sf).withColumnsRenamed(YELLOW.renames)
+    return _landed_raw(spark, sf, "yellow_raw", yellow_raw).withColumnsRenamed(YELLOW.renames)
 
 
 def green_loaded(spark: SparkSession, sf: str) -> DataFrame:
-    return green_raw(spark, sf).withColumnsRenamed(GREEN.renames)
+    return _landed_raw(spark, sf, "green_raw", green_raw).withColumnsRenamed(GREEN.renames)
 
 
-def _trips(spark: SparkSession, sf: str, raw: DataFrame, service) -> DataFrame:
-    return (
-        quality.clean(raw, service)
-        .transform(enrich.join_zones, zones(spark, sf))
-        .transform(add_trip_columns, service)
-        .transform(add_pickup_calendar)
-    )
+def fhvhv_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    return _landed_raw(spark, sf, "fhvhv_raw", fhvhv_raw)
 
 
 def yellow_trips(spark: SparkSession, sf: str) -> DataFrame:
-    """Clean yellow trips with zones, derived and calendar columns."""
-    return _trips(spark, sf, yellow_loaded(spark, sf), YELLOW_CITY)
+    return _landed_trips(spark, sf, "yellow", yellow_loaded(spark, sf), YELLOW_CITY)
 
 
 def green_trips(spark: SparkSession, sf: str) -> DataFrame:
-    return _trips(spark, sf, green_loaded(spark, sf), GREEN_CITY)
+    return _landed_trips(spark, sf, "green", green_loaded(spark, sf), GREEN_CITY)
 
 
 def fhvhv_trips(spark: SparkSession, sf: str) -> DataFrame:
-    return _trips(spark, sf, fhvhv_raw(spark, sf), FHVHV_CITY)
+    return _landed_trips(spark, sf, "fhvhv", fhvhv_loaded(spark, sf), FHVHV_CITY)
 
 
 def all_trips(spark: SparkSession, sf: str) -> DataFrame:

@@ -19,6 +19,7 @@ def build_session(app: str = "tripflow", master: str | None = None, **conf) -> S
         builder = builder.master(master)
     settings = {
         "spark.ui.enabled": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.timestampType": "TIMESTAMP_NTZ",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
