@@ -114,7 +114,7 @@ def relative_day(text: Column, today: Column) -> Column:
             F.coalesce(
                 F.try_to_timestamp(word, F.lit("yyyy-MM-dd")),
                 F.try_to_timestamp(
-                    F.regexp_replace(F.initcap(word), "(\\d)(St|Nd|Rd|Th)\\b", "$1"),
+                    F.regexp_replace(F.initcap(word), "(\\d)(?i:st|nd|rd|th)\\b", "$1"),
                     F.lit("MMMM d yyyy"),
                 ),
             ).cast("date")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tripflow.plans import rollup_queries  # noqa: F401
+from tripflow.plans import (  # noqa: F401
+    quality_queries,
+    rollup_queries,
+    source_queries,
+)
 from tripflow.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -148,22 +148,34 @@ def fhvhv_raw(spark: SparkSession, sf: str) -> DataFrame:
 _LANDED: dict[tuple[str, str, str], str] = {}
 
 
-def landed(spark: SparkSession, sf: str, name: str, write) -> DataFrame:
-    """The table ``write(path)`` stores in the shared folder, written once per session.
+def landed_path(spark: SparkSession, sf: str, name: str, write) -> str:
+    """Where ``write(path)`` stored the named files in the shared folder, once per session.
 
     Raw trips land as files and clean trips as a table by month, as they would in
-    production; every query on them is then a pruned scan of that table.
+    production; every query on them is then a pruned scan of those files.
     """
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _LANDED:
         path = shared_folder(spark, name)
         write(path)
         _LANDED[key] = path
-    return spark.read.parquet(_LANDED[key])
+    return _LANDED[key]
+
+
+def landed(spark: SparkSession, sf: str, name: str, write) -> DataFrame:
+    return spark.read.parquet(landed_path(spark, sf, name, write))
+
+
+def raw_path(spark: SparkSession, sf: str, name: str) -> str:
+    """Folder with the raw trip files of a service."""
+    derive = {"yellow": yellow_raw, "green": green_raw, "fhvhv": fhvhv_raw}[name]
+    return landed_path(
+        spark, sf, f"{name}_raw", lambda path: derive(spark, sf).write.parquet(path)
+    )
 
 
-def _landed_raw(spark: SparkSession, sf: str, name: str, derive) -> DataFrame:
-    return landed(spark, sf, name, lambda path: derive(spark, sf).write.parquet(path))
+def _landed_raw(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(raw_path(spark, sf, name))
 
 
 def _landed_trips(spark: SparkSession, sf: str, name: str, raw: DataFrame, service) -> DataFrame:
@@ -182,15 +194,15 @@ def _landed_trips(spark: SparkSession, sf: str, name: str, raw: DataFrame, servi
 
 
 def yellow_loaded(spark: SparkSession, sf: str) -> DataFrame:
-    return _landed_raw(spark, sf, "yellow_raw", yellow_raw).withColumnsRenamed(YELLOW.renames)
+    return _landed_raw(spark, sf, "yellow").withColumnsRenamed(YELLOW.renames)
 
 
 def green_loaded(spark: SparkSession, sf: str) -> DataFrame:
-    return _landed_raw(spark, sf, "green_raw", green_raw).withColumnsRenamed(GREEN.renames)
+    return _landed_raw(spark, sf, "green").withColumnsRenamed(GREEN.renames)
 
 
 def fhvhv_loaded(spark: SparkSession, sf: str) -> DataFrame:
-    return _landed_raw(spark, sf, "fhvhv_raw", fhvhv_raw)
+    return _landed_raw(spark, sf, "fhvhv")
 
 
 def yellow_trips(spark: SparkSession, sf: str) -> DataFrame:

@@ -22,14 +22,14 @@ def load_weather(
 ) -> DataFrame:
     """Hourly weather of all zones in one scan.
 
-    Files lie in one folder per zone; the zone id is the folder name. The stored
+    Files lie in one folder per zone, named ``7`` or ``id=7``. The stored
     hours are UTC and become wall-clock hours of ``local_zone`` (None keeps UTC).
     """
     raw = (
         spark.read.schema(schemas.WEATHER_RAW)
         .option("recursiveFileLookup", True)
         .parquet(path)
-        .withColumn("id", F.regexp_extract(F.col("_metadata.file_path"), "/(\\d+)/[^/]+$", 1).cast("int"))
+        .withColumn("id", F.regexp_extract(F.col("_metadata.file_path"), "/(?:id=)?(\\d+)/[^/]+$", 1).cast("int"))
     )
     return weather_columns(raw, local_zone)
 
@@ -48,14 +48,14 @@ def weather_columns(raw: DataFrame, local_zone: str | None = "America/New_York")
 
 
 def load_pois(spark: SparkSession, path: str) -> DataFrame:
-    """POI files; the type is the file or folder name ``tag_value[.parquet]``."""
+    """POI files; the type is the file name ``tag_value.parquet`` or the folder ``poi_type=tag_value``."""
     raw = (
         spark.read.schema(schemas.POI_RAW)
         .option("recursiveFileLookup", True)
         .parquet(path)
     )
     location = F.col("_metadata.file_path")
-    name = F.regexp_extract(location, "/([a-z]+_[a-z_]+)(?:\\.parquet)?(?:/[^/]*)?$", 1)
+    name = F.regexp_extract(location, "/(?:poi_type=)?([a-z]+_[a-z_]+)(?:\\.parquet)?(?:/[^/]*)?$", 1)
     return raw.withColumn("poi_type", name).withColumns(
         {
             "main_category": F.split_part("poi_type", F.lit("_"), F.lit(1)),

@@ -31,7 +31,13 @@ def save_trips(
 def save_result(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        # Outer blanks are part of the values; the writer would trim them.
+        (
+            writer.option("header", True)
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+            .csv(path)
+        )
     else:
         writer.format(fmt).save(path)
 
