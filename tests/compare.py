@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 
@@ -72,7 +73,16 @@ def main():
 
     sf_dir = sys.argv[1]
     wanted = sys.argv[2:]
-    spark = build_session("compare", master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false"}
+    if os.environ.get("PLAIN"):  # a session without this library's settings
+        from pyspark.sql import SparkSession
+
+        builder = SparkSession.builder.master("local[8]")
+        for name, value in conf.items():
+            builder = builder.config(name, value)
+        spark = builder.getOrCreate()
+    else:
+        spark = build_session("compare", master="local[8]", **conf)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     queries, checks = entry.queries(), entry.oracle_sql()

@@ -88,14 +88,18 @@ def _after_last_bracket(text: Column) -> Column:
     return F.when(F.instr(text, ")") > 0, F.substring_index(text, ")", -1))
 
 
-def event_name(description: Column) -> Column:
-    """Name of the event in a closure notice.
+def notice_text(description: Column) -> Column:
+    """The form in which names and venues are looked for."""
+    return F.lower(strip_blanks(description))
+
+
+def event_name(text: Column) -> Column:
+    """Name of the event in the ``notice_text`` of a closure notice.
 
     Either the text between the last ")" and the word "closures" (when the notice
     speaks of the police decision), or the text between the last ")" and the first
     weekday word. A notice of the first kind without a bracket is tried as the second.
     """
-    text = F.lower(strip_blanks(description))
     is_notice = (F.instr(text, "closures are") > 0) & (F.instr(text, "nypd") > 0)
     notice_part = _after_last_bracket(F.substring_index(text, "closures", 1))
     notice_name = strip_blanks(F.regexp_replace(notice_part, "\\.+\\z", ""))
@@ -112,10 +116,9 @@ def event_name(description: Column) -> Column:
 
 
 def venue_in(text: Column) -> Column:
-    """First venue of the list named in the text, else null."""
-    lowered = F.lower(text)
+    """First venue of the list named in the ``notice_text``, else null."""
     return F.coalesce(
-        *[F.when(F.instr(lowered, venue) > 0, F.lit(venue)) for venue in VENUE_CAPACITY]
+        *[F.when(F.instr(text, venue) > 0, F.lit(venue)) for venue in VENUE_CAPACITY]
     )
 
 

@@ -10,6 +10,11 @@ from tripflow.functions.numeric import any_of
 FEED_TIME = "dd/MM/yyyy HH:mm:ss"
 HISTORY_TIME = "M/d/yyyy hh:mm:ss a"
 
+EVENT_COLUMNS = (
+    "ID", "EventName", "EventType", "EventSubType", "StartDate", "EndDate", "Latitude", "Longitude",
+    "RoadwayName", "CountyName", "AsistanceLevel",
+)
+
 
 def _parse(value: Column, pattern: str) -> Column:
     return F.try_to_timestamp(value, F.lit(pattern)).cast("timestamp_ntz")
@@ -32,20 +37,34 @@ def with_history_times(history: DataFrame) -> DataFrame:
     )
 
 
+def with_names(notices: DataFrame) -> DataFrame:
+    """Event name and venue found in the whole description."""
+    return (
+        notices.withColumn("_text", text.notice_text(F.col("Description")))
+        .withColumns({"EventName": text.event_name(F.col("_text")), "venue": text.venue_in(F.col("_text"))})
+        .drop("_text")
+    )
+
+
 def prepare_notices(notices: DataFrame) -> DataFrame:
-    """Cultural notices with dates, event name, group and venue level.
+    """Cultural notices with dates, event name, venue, group and venue level.
 
-    Operational and "Special event" subtypes are left out.
+    Operational and "Special event" subtypes are left out. The description and the
+    schedule have served their purpose and are dropped; store the result before
+    using it several times, since reading names out of long texts is the costly part.
     """
     subtype = F.col("EventSubType")
     cultural = notices.where((subtype != "Operational activity") & ~subtype.contains("Special event"))
-    return with_dates(cultural).withColumns(
-        {
-            "AsistanceLevel": text.venue_level(F.col("RoadwayName")),
-            "EventName": text.event_name(F.col("Description")),
-            "EventType": text.event_group(subtype),
-        }
-    ).drop("Schedule")
+    return (
+        with_names(with_dates(cultural))
+        .withColumns(
+            {
+                "AsistanceLevel": text.venue_level(F.col("RoadwayName")),
+                "EventType": text.event_group(subtype),
+            }
+        )
+        .select(*EVENT_COLUMNS, "venue")
+    )
 
 
 def split_impacts(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -54,13 +73,7 @@ def split_impacts(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
     return prepared.where(at_venue), prepared.where(~at_venue)
 
 
-EVENT_COLUMNS = (
-    "ID", "EventName", "EventType", "EventSubType", "StartDate", "EndDate", "Latitude", "Longitude",
-    "RoadwayName", "CountyName", "AsistanceLevel",
-)
-
-
-def _streets(order: Column) -> Column:
+def _streets() -> Column:
     """Distinct streets as an array, each with the position first reported."""
     return F.struct(
         F.col("RoadwayName").alias("Street"),
@@ -82,22 +95,21 @@ def match_impacts(events: DataFrame, impacts: DataFrame) -> tuple[DataFrame, Dat
     same time and exactly one event does so. Events are counted per venue and start
     before the join, so an impact meets at most one row.
     """
-    no_start = events.where(F.col("StartDate").isNotNull())
+    dated = events.where(F.col("StartDate").isNotNull())
     single = (
-        no_start.groupBy(F.lower("RoadwayName").alias("_venue"), F.col("StartDate").alias("_start"))
+        dated.groupBy(F.lower("RoadwayName").alias("_venue"), F.col("StartDate").alias("_start"))
         .agg(F.count(F.lit(1)).alias("_n"), F.min("ID").alias("event_id"))
         .where(F.col("_n") == 1)
         .drop("_n")
     )
-    located = impacts.withColumn("_in_text", text.venue_in(F.col("Description")))
-    on = (F.col("_in_text") == F.col("_venue")) & (F.col("StartDate") == F.col("_start"))
-    matched = located.join(single, on, "inner")
-    unmatched = located.join(single, on, "left_anti").drop("_in_text")
+    on = (F.col("venue") == F.col("_venue")) & (F.col("StartDate") == F.col("_start"))
+    matched = impacts.join(single, on, "inner")
+    unmatched = impacts.join(single, on, "left_anti")
     roads = (
         matched.groupBy("event_id", "RoadwayName")
         .agg(_first_position())
         .groupBy("event_id")
-        .agg(F.sort_array(F.collect_list(_streets(F.col("RoadwayName")))).alias("RoadsAffected"))
+        .agg(F.sort_array(F.collect_list(_streets())).alias("RoadsAffected"))
     )
     with_roads = (
         events.select(*EVENT_COLUMNS)
@@ -129,7 +141,7 @@ def group_impacts(unmatched: DataFrame) -> DataFrame:
     )
     grouped = per_street.groupBy(*GROUP_KEYS).agg(
         F.min_by("_top", "_rank").alias("_top"),
-        F.sort_array(F.collect_list(_streets(F.col("RoadwayName")))).alias("_roads"),
+        F.sort_array(F.collect_list(_streets())).alias("_roads"),
         (F.sum("_lat") / F.sum("_n")).alias("_lat"),
         (F.sum("_lon") / F.sum("_n")).alias("_lon"),
     )
@@ -153,9 +165,9 @@ def group_impacts(unmatched: DataFrame) -> DataFrame:
     )
 
 
-def event_table(notices: DataFrame) -> DataFrame:
+def event_table(prepared: DataFrame) -> DataFrame:
     """Events with affected streets, and the grouped impacts no event explains."""
-    events, impacts = split_impacts(prepare_notices(notices))
+    events, impacts = split_impacts(prepared)
     with_roads, unmatched = match_impacts(events, impacts)
     return with_roads.unionByName(group_impacts(unmatched))
 
@@ -229,7 +241,7 @@ def modal_label(df: DataFrame, cluster: str, label: str) -> DataFrame:
 def durations(history: DataFrame) -> DataFrame:
     """Minutes from creation to closing, positive ones only, with the category."""
     timed = with_category(with_history_times(history))
-    minutes = (F.unix_micros(F.col("close_time").cast("timestamp")) - F.unix_micros(F.col("create_time").cast("timestamp"))) / 60_000_000
+    minutes = F.timestamp_diff("MICROSECOND", F.col("create_time"), F.col("close_time")) / 60_000_000
     return timed.select("category", minutes.alias("minutes")).where(F.col("minutes") > 0)
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from tripflow.plans import (  # noqa: F401
+    analysis_queries,
+    place_queries,
     quality_queries,
     rollup_queries,
     source_queries,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tripflow.config import TAIL_PERCENTILES
 from tripflow.functions import calendar, fares, text
 from tripflow.functions.numeric import round_half_up
-from tripflow.operators import enrich, places, quality, quantiles
+from tripflow.operators import enrich, events, places, quality, quantiles
 from tripflow.plans import check_sql, inputs
 from tripflow.plans.check_sql import AIRPORT, first_failed, query, r
 from tripflow.plans.inputs import FHVHV_CITY, YELLOW_CITY
@@ -568,7 +568,7 @@ EVENT_NAMES = {
 
 @register("event_name_extract", query("SELECT ID, event_name FROM named", EVENT_NAMES))
 def event_name_extract(spark, sf):
-    return inputs.notices(spark, sf).select("ID", text.event_name(F.col("Description")).alias("event_name"))
+    return events.with_names(inputs.notices(spark, sf)).select("ID", F.col("EventName").alias("event_name"))
 
 
 VENUE_CASES = "CASE " + " ".join(f"WHEN contains(lower(Description), '{v}') THEN '{v}'" for v in text.VENUE_CAPACITY) + " END"
@@ -591,9 +591,9 @@ GROUP_CASES = (
     query(f"SELECT ID, {VENUE_CASES} AS venue, CAST({LEVEL_CASES} AS INT) AS level, {GROUP_CASES} AS event_group FROM notices"),
 )
 def event_enrich(spark, sf):
-    return inputs.notices(spark, sf).select(
+    return events.with_names(inputs.notices(spark, sf)).select(
         "ID",
-        text.venue_in(F.col("Description")).alias("venue"),
+        "venue",
         text.venue_level(F.col("RoadwayName")).alias("level"),
         text.event_group(F.col("EventSubType")).alias("event_group"),
     )
@@ -607,8 +607,6 @@ def event_enrich(spark, sf):
     ),
 )
 def event_times(spark, sf):
-    from tripflow.operators import events
-
     notices = events.with_dates(inputs.notices(spark, sf)).select(F.col("ID").alias("id"), "StartDate", "EndDate")
     history = events.with_history_times(inputs.incidents(spark, sf)).select(
         F.lit("incident").alias("id"), F.col("create_time").alias("StartDate"), F.col("close_time").alias("EndDate")
