@@ -151,14 +151,14 @@ def multi_horizon_error(
     Feeding a baseline its own output changes nothing: the hour mean depends on the
     clock alone and the last value stays what it was at the start. So every horizon
     is a row frame from the start on, and no recursion is needed. Predictions are
-    rounded; the cumulative error is the absolute sum of errors of a zone and start.
+    rounded half to even; the cumulative error is the absolute sum of errors of a zone and start.
     """
     y = F.col("pickups")
     means = hour_means(train, steps)
     keyed = test.withColumn("hour_of_day", F.hour("hour")).join(means, ["zone_id", "hour_of_day"], "left")
     rounded = keyed.withColumns(
         {
-            "_error": F.floor(F.coalesce("predicted", F.lit(0.0)) + 0.5) - y,
+            "_error": F.rint(F.coalesce("predicted", F.lit(0.0))).cast("bigint") - y,
             "_last": F.lag("pickups").over(_zone_hours()),
             "_index": F.row_number().over(_zone_hours()),
         }
