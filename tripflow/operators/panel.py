@@ -131,67 +131,60 @@ def baseline_last(test: DataFrame, steps: int = INPUT_STEPS) -> DataFrame:
     )
 
 
-def _error_row(name: str, horizon: int, df: DataFrame, complete: Column) -> DataFrame:
-    """Mean errors over all starts with a full horizon."""
-    return df.where(complete).agg(
-        F.lit(name).alias("model"),
-        F.lit(horizon).alias("horizon"),
-        F.count(F.lit(1)).alias("windows"),
-        (F.sum("_sq") / (F.count(F.lit(1)) * horizon)).alias("mse"),
-        (F.sum("_abs") / (F.count(F.lit(1)) * horizon)).alias("mae"),
-        F.avg(F.abs("_sum")).alias("cumulative_error"),
-    )
-
-
 def multi_horizon_error(
     train: DataFrame, test: DataFrame, horizons=HORIZONS, steps: int = INPUT_STEPS
 ) -> DataFrame:
     """Errors of both baselines when each start predicts several hours ahead.
 
     Feeding a baseline its own output changes nothing: the hour mean depends on the
-    clock alone and the last value stays what it was at the start. So every horizon
-    is a row frame from the start on, and no recursion is needed. Predictions are
-    rounded half to even; the cumulative error is the absolute sum of errors of a zone and start.
+    clock alone and the last value stays what it was at the start. So the errors of a
+    start are a row frame over the following hours, gathered once for the longest
+    horizon, and all horizons come from one pass without recursion. Predictions are
+    rounded half to even; the cumulative error is the absolute sum of the errors of a
+    zone and start.
     """
     y = F.col("pickups")
-    means = hour_means(train, steps)
-    keyed = test.withColumn("hour_of_day", F.hour("hour")).join(means, ["zone_id", "hour_of_day"], "left")
-    rounded = keyed.withColumns(
-        {
-            "_error": F.rint(F.coalesce("predicted", F.lit(0.0))).cast("bigint") - y,
-            "_last": F.lag("pickups").over(_zone_hours()),
-            "_index": F.row_number().over(_zone_hours()),
-        }
+    ahead = _zone_hours().rowsBetween(0, max(horizons) - 1)
+    keyed = test.withColumn("hour_of_day", F.hour("hour")).join(
+        hour_means(train, steps), ["zone_id", "hour_of_day"], "left"
     )
-    parts = []
-    for h in horizons:
-        ahead = _zone_hours().rowsBetween(0, h - 1)
-        complete = (F.col("_index") > steps) & (F.col("_left") == h)
-        left = F.count(F.lit(1)).over(ahead)
-        e = F.col("_error")
-        by_mean = rounded.withColumns(
+    error = F.rint(F.coalesce("predicted", F.lit(0.0))).cast("bigint") - y
+    starts = (
+        keyed.withColumns({"_error": error, "_index": F.row_number().over(_zone_hours())})
+        .withColumns(
             {
-                "_left": left,
-                "_sum": F.sum(e).over(ahead),
-                "_sq": F.sum(e * e).over(ahead),
-                "_abs": F.sum(F.abs(e)).over(ahead),
+                "_errors": F.collect_list("_error").over(ahead),
+                "_future": F.collect_list("pickups").over(ahead),
+                "_last": F.lag("pickups").over(_zone_hours()),
             }
         )
-        future = rounded.withColumns({"_left": left, "_future": F.collect_list(y).over(ahead)})
-        diffs = F.transform("_future", lambda v: F.col("_last") - v)
+        .where(F.col("_index") > steps)
+        .select("_errors", F.transform("_future", lambda v: F.col("_last") - v).alias("_last_errors"))
+    )
+    cases = F.array(
+        *[
+            F.struct(F.lit(model).alias("model"), F.lit(h).alias("horizon"), F.slice(errors, 1, h).alias("e"))
+            for model, errors in (("hour_mean", "_errors"), ("last_value", "_last_errors"))
+            for h in horizons
+        ]
+    )
 
-        def total(of) -> Column:
-            return F.aggregate(F.transform(diffs, of), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    def total(of) -> Column:
+        return F.aggregate(F.transform("e", of), F.lit(0).cast("bigint"), lambda a, v: a + v)
 
-        by_last = future.withColumns(
-            {"_sum": total(lambda d: d), "_sq": total(lambda d: d * d), "_abs": total(F.abs)}
+    windows = F.count(F.lit(1))
+    return (
+        starts.select(F.inline(cases))
+        .where(F.size("e") == F.col("horizon"))
+        .withColumns({"_sum": total(lambda d: d), "_sq": total(lambda d: d * d), "_abs": total(F.abs)})
+        .groupBy("model", "horizon")
+        .agg(
+            windows.alias("windows"),
+            (F.sum("_sq") / (windows * F.col("horizon"))).alias("mse"),
+            (F.sum("_abs") / (windows * F.col("horizon"))).alias("mae"),
+            F.avg(F.abs("_sum")).alias("cumulative_error"),
         )
-        parts.append(_error_row("hour_mean", h, by_mean, complete))
-        parts.append(_error_row("last_value", h, by_last, complete))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    )
 
 
 # ---- forecast tables --------------------------------------------------------

@@ -105,7 +105,13 @@ def zone_sales(spark, sf):
 
 
 def wealth_base(spark, sf):
-    return levels.wealth_inputs(rollups.zone_demand_ses(flagged_trips(spark, sf)), ses(spark, sf), zone_sales(spark, sf))
+    """Zone table of the index, stored once: its four weightings read it again."""
+
+    def write(path):
+        demand = rollups.zone_demand_ses(flagged_trips(spark, sf))
+        levels.wealth_inputs(demand, ses(spark, sf), zone_sales(spark, sf)).write.parquet(path)
+
+    return inputs.landed(spark, sf, "wealth_base", write)
 
 
 @register(
