@@ -269,12 +269,13 @@ def from_state_plane(x: Column, y: Column) -> Column:
     north = F.lit(RHO_0) - y * METRES_PER_FOOT
     rho = F.hypot(east, north)
     chi = F.lit(math.pi / 2) - 2 * F.atan(F.pow(rho / (SEMI_MAJOR_M * CONE_F), F.lit(1 / CONE_N)))
-    e2, e4, e6 = _E**2, _E**4, _E**6
+    e2, e4, e6, e8 = _E**2, _E**4, _E**6, _E**8
     phi = (
         chi
-        + F.sin(2 * chi) * (e2 / 2 + 5 * e4 / 24 + e6 / 12)
-        + F.sin(4 * chi) * (7 * e4 / 48 + 29 * e6 / 240)
-        + F.sin(6 * chi) * (7 * e6 / 120)
+        + F.sin(2 * chi) * (e2 / 2 + 5 * e4 / 24 + e6 / 12 + 13 * e8 / 360)
+        + F.sin(4 * chi) * (7 * e4 / 48 + 29 * e6 / 240 + 811 * e8 / 11520)
+        + F.sin(6 * chi) * (7 * e6 / 120 + 81 * e8 / 1120)
+        + F.sin(8 * chi) * (4279 * e8 / 161280)
     )
     lam = F.atan2(east, north) / CONE_N + math.radians(ORIGIN[0])
     return F.struct(F.degrees(lam).alias("lon"), F.degrees(phi).alias("lat"))
