@@ -39,6 +39,18 @@ KINDS = {
 }
 
 
+UNWANTED = (
+    "EvalPython", "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas", "PythonUDF",
+    "CartesianProduct", "BroadcastNestedLoopJoin",
+)
+
+
+def unwanted_nodes(df):
+    """Python operators and joins without keys in the plan."""
+    plan = df._jdf.queryExecution().toString()
+    return [f"plan has {node}" for node in UNWANTED if node in plan]
+
+
 def compare(spark, con, sf_dir, name, fn, sql):
     """List of problems, empty when both sides agree in columns, types and rows."""
     df = fn(spark, sf_dir)
@@ -51,7 +63,7 @@ def compare(spark, con, sf_dir, name, fn, sql):
         return [f"columns {columns} != {sorted(names)}"]
     order = [names.index(c) for c in columns]
     duck_rows = sorted((tuple(plain(row[i]) for i in order) for row in result.fetchall()), key=key)
-    problems = []
+    problems = unwanted_nodes(df)
     for column, kind in df.dtypes:
         want = KINDS.get(kind)
         if want and not kinds[column].upper().startswith({"VARCHAR": "STRING"}.get(want, want)) and kinds[column].upper() != want:

@@ -30,11 +30,11 @@ def test_exact_percentiles_match_sorting(spark):
             assert got[group][name] == values[max(math.ceil(p * len(values)), 1) - 1], (group, name)
 
 
-@pytest.mark.parametrize("bucket", [0.01, 1.0, 1e6])
-def test_percentiles_do_not_depend_on_the_bucket(spark, bucket):
+@pytest.mark.parametrize("resolution", [1, 100, 100_000])
+def test_percentiles_do_not_depend_on_the_ranges(spark, resolution):
     values = [float(v) for v in np.random.default_rng(2).normal(0, 50, 999).round(1)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    row = quantiles.exact_percentiles(df, [], "v", {"m": 0.5, "h": 0.95}, bucket=bucket).first()
+    row = quantiles.exact_percentiles(df, [], "v", {"m": 0.5, "h": 0.95}, resolution=resolution).first()
     assert (row["m"], row["h"]) == (sorted(values)[499], sorted(values)[949])
 
 

@@ -181,7 +181,8 @@ def top_event_zones(located: DataFrame, n: int = 3, names: int = 3) -> DataFrame
     """Zones by summed venue level, then by number of named events.
 
     Lists the names of the highest events of a zone. Ranking is within the zones
-    that made the list only, and over events, which are few per zone and day.
+    that made the list only; because just the first ranks are kept, every map task
+    sends at most that many rows per zone to the window.
     """
     keys = ["zone", "CountyName"]
     totals = (

@@ -20,15 +20,17 @@ def _zone_hours():
 def time_grid(zones: DataFrame, start: str, end: str, id_col: str = "LocationID") -> DataFrame:
     """Every zone with every hour in [start, end).
 
-    Each zone row generates its own hours, which needs no cross join; the zones are
-    spread first so that the hours are generated by many tasks.
+    Each zone row generates its own hours, which needs no cross join. The zones are
+    first spread over a fixed number of tasks: without the number, adaptive execution
+    would gather the few zone rows, and with them all hours, in one task.
     """
+    tasks = int(zones.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hours = F.sequence(
         F.lit(start).cast("timestamp_ntz"),
         F.lit(end).cast("timestamp_ntz") - F.expr("INTERVAL 1 HOUR"),
         F.expr("INTERVAL 1 HOUR"),
     )
-    ids = zones.select(F.col(id_col).cast("int").alias("zone_id")).distinct().repartition("zone_id")
+    ids = zones.select(F.col(id_col).cast("int").alias("zone_id")).distinct().repartition(tasks, "zone_id")
     return ids.withColumn("hour", F.explode(hours))
 
 

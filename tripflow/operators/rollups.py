@@ -258,7 +258,7 @@ def wait_trend(df: DataFrame, exact: bool = True) -> DataFrame:
             minutes(F.percentile_approx("wait_time", 0.5)).alias("median_wait"),
             minutes(F.percentile_approx("wait_time", 0.9)).alias("p90_wait"),
         )
-    cuts = exact_percentiles(waiting, keys, "wait_time", {"_p50": 0.5, "_p90": 0.9}, bucket=60.0)
+    cuts = exact_percentiles(waiting, keys, "wait_time", {"_p50": 0.5, "_p90": 0.9})
     return (
         waiting.groupBy(*keys)
         .agg(mean)

@@ -4,15 +4,26 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripflow.operators.joins import join_dimension
 
 
+def pearson(x: str, y: str) -> Column:
+    """Pearson r over rows with both values; null when one of them does not vary.
+
+    The built-in ``corr`` divides by zero there, which is an error in ANSI mode.
+    """
+    spread = F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x))) * F.stddev_pop(
+        F.when(F.col(x).isNotNull(), F.col(y))
+    )
+    return F.covar_pop(x, y) / F.when(spread != 0, spread)
+
+
 def correlation_grid(df: DataFrame, rows: list[str], columns: list[str]) -> DataFrame:
     """Pearson r of every row/column pair as rows of a table, in one pass."""
     pairs = [(a, b) for a in rows for b in columns]
-    one_row = df.agg(*[F.corr(a, b).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)])
+    one_row = df.agg(*[pearson(a, b).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)])
     cells = F.array(
         *[
             F.struct(F.lit(a).alias("row"), F.lit(b).alias("column"), F.col(f"_r{i}").alias("r"))
@@ -33,7 +44,7 @@ def regression_line(df: DataFrame, x: str, y: str) -> DataFrame:
     t = r * F.sqrt((n - 2) / F.when(1 - r * r > 0, 1 - r * r))
     return df.agg(
         F.regr_count(F.col(y), F.col(x)).alias("n"),
-        F.corr(x, y).alias("r"),
+        pearson(x, y).alias("r"),
         F.regr_slope(F.col(y), F.col(x)).alias("slope"),
         F.regr_intercept(F.col(y), F.col(x)).alias("intercept"),
     ).withColumn("t", t)

@@ -130,23 +130,22 @@ CORR_DEMAND = ["avg_daily_pickups", "avg_tip_pct", "avg_fare"]
 @register(
     "poi_demand_corr",
     query(
-        " UNION ALL ".join(f"SELECT '{a}' AS \"row\", '{b}' AS \"column\", {r(f'corr({a}, {b})', 5)} AS r FROM poi_demanded" for a in CORR_GROUPS if not a.startswith("tourism") for b in CORR_DEMAND),
+        " UNION ALL ".join(f"SELECT '{a}' AS \"row\", '{b}' AS \"column\", CASE WHEN var_pop({a}) > 0 AND var_pop({b}) > 0 THEN {r(f'corr({a}, {b})', 5)} END AS r FROM poi_demanded" for a in CORR_GROUPS for b in CORR_DEMAND),
         POI_DEMAND,
     ),
 )
 def poi_demand_corr(spark, sf):
-    rows = [c for c in CORR_GROUPS if not c.startswith("tourism")]
-    return rounded(stats.correlation_grid(poi_demand_table(spark, sf), rows, CORR_DEMAND), r=5)
+    return rounded(stats.correlation_grid(poi_demand_table(spark, sf), CORR_GROUPS, CORR_DEMAND), r=5)
 
 
-R_SQL = "corr(total_poi_density, avg_daily_pickups)"
+R_SQL = "CASE WHEN var_pop(total_poi_density) > 0 AND var_pop(avg_daily_pickups) > 0 THEN corr(total_poi_density, avg_daily_pickups) END"
 
 
 @register(
     "poi_regression",
     query(
-        f"SELECT count(*) AS n, {r(R_SQL, 6)} AS r, {r('regr_slope(avg_daily_pickups, total_poi_density)', 6)} AS slope, {r('regr_intercept(avg_daily_pickups, total_poi_density)', 4)} AS intercept, "
-        f"{r(f'{R_SQL} * sqrt((count(*) - 2) / (1 - {R_SQL} * {R_SQL}))', 5)} AS t FROM poi_demanded",
+        f"SELECT count(*) AS n, {r(f'({R_SQL})', 6)} AS r, {r('regr_slope(avg_daily_pickups, total_poi_density)', 6)} AS slope, {r('regr_intercept(avg_daily_pickups, total_poi_density)', 4)} AS intercept, "
+        f"{r(f'({R_SQL}) * sqrt((count(*) - 2) / (1 - ({R_SQL}) * ({R_SQL})))', 5)} AS t FROM poi_demanded",
         POI_DEMAND,
     ),
 )
