@@ -21,7 +21,7 @@ def exact_percentiles(
     keys: list[str],
     value: str,
     percentiles: dict[str, float],
-    resolution: int = 1000,
+    resolution: int = 100,
     nearest: bool = False,
 ) -> DataFrame:
     """Exact percentiles per group; each result is a value that occurs.

@@ -19,10 +19,6 @@ def _mean(value: Column, digits: int) -> Column:
     return round_half_up(F.avg(value), digits)
 
 
-def _mean_seconds(value: Column) -> Column:
-    return round_half_up(F.avg(value), 0).cast("bigint")
-
-
 # ---- zone demand ------------------------------------------------------------
 
 def date_span(df: DataFrame, ts: str = "pickup_datetime") -> DataFrame:
@@ -41,19 +37,28 @@ def _with_bands(df: DataFrame) -> DataFrame:
     )
 
 
-def _zone_metrics(condition: Column | None, suffix: str) -> list[Column]:
-    """The money and distance means, over all rows or those meeting a condition."""
+# Mean -> column it is taken over and digits kept.
+ZONE_MEANS = {
+    "avg_fare": ("total_amount", 2),
+    "avg_tip": ("tips", 2),
+    "avg_tip_pct": ("tip_pct", 2),
+    "avg_trip_miles": ("trip_miles", 2),
+    "avg_trip_time_secs": ("trip_time", 0),
+}
+
 
-    def when(name: str) -> Column:
-        return F.col(name) if condition is None else F.when(condition, F.col(name))
+def _means(condition: Column | None, suffix: str) -> list[Column]:
+    """Means from partial sums and counts, over all partial rows or those meeting a condition."""
 
-    return [
-        _mean(when("total_amount"), 2).alias(f"avg_fare{suffix}"),
-        _mean(when("tips"), 2).alias(f"avg_tip{suffix}"),
-        _mean(when("tip_pct"), 2).alias(f"avg_tip_pct{suffix}"),
-        _mean(when("trip_miles"), 2).alias(f"avg_trip_miles{suffix}"),
-        _mean_seconds(when("trip_time")).alias(f"avg_trip_time_secs{suffix}"),
-    ]
+    def total(name: str) -> Column:
+        return F.sum(F.col(name) if condition is None else F.when(condition, F.col(name)))
+
+    columns = []
+    for name, (value, digits) in ZONE_MEANS.items():
+        known = total(f"_c_{value}")
+        mean = round_half_up(total(f"_s_{value}") / F.when(known != 0, known), digits)
+        columns.append((mean.cast("bigint") if digits == 0 else mean).alias(name + suffix))
+    return columns
 
 
 def _per_day(summary: DataFrame) -> DataFrame:
@@ -76,47 +81,60 @@ def _per_day(summary: DataFrame) -> DataFrame:
     ).drop("_days", "_first", "_last", *[f"_{band}" for band in TIME_BANDS])
 
 
-def _zone_summary(df: DataFrame, keys: tuple[str, ...], extra: list[Column]) -> DataFrame:
-    banded = _with_bands(df)
-    return banded.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_trips"),
-        F.min(F.to_date("pickup_datetime")).alias("_first"),
-        F.max(F.to_date("pickup_datetime")).alias("_last"),
-        *_zone_metrics(None, ""),
-        *extra,
-        *[count_if(F.col("time_band") == band).alias(f"_{band}") for band in TIME_BANDS],
+def _zone_summary(df: DataFrame, counts: dict[str, Column], sources: tuple[str, ...] = ()) -> DataFrame:
+    """Counts, day span and means per zone, and per zone and source.
+
+    Trips are reduced once to sums and counts per zone and source; the combined and
+    the per-source figures both come from those few rows, so a trip is added up once
+    and not once per figure.
+    """
+    counted = {**{f"_{band}": F.col("time_band") == band for band in TIME_BANDS}, **counts}
+    values = [value for value, _ in ZONE_MEANS.values()]
+    partial = (
+        _with_bands(df)
+        .groupBy(*ZONE_KEYS, *(["source"] if sources else []))
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.min(F.to_date("pickup_datetime")).alias("_first"),
+            F.max(F.to_date("pickup_datetime")).alias("_last"),
+            *[F.sum(v).alias(f"_s_{v}") for v in values],
+            *[F.count(v).alias(f"_c_{v}") for v in values],
+            *[count_if(condition).alias(name) for name, condition in counted.items()],
+        )
+    )
+    per_source = []
+    for name in sources:
+        of_source = F.col("source") == name
+        per_source += _means(of_source, f"_{name}")
+        per_source.append(F.coalesce(F.sum(F.when(of_source, F.col("_n"))), F.lit(0)).alias(f"trips_{name}"))
+    return partial.groupBy(*ZONE_KEYS).agg(
+        F.sum("_n").alias("total_trips"),
+        F.min("_first").alias("_first"),
+        F.max("_last").alias("_last"),
+        *_means(None, ""),
+        *[F.sum(name).alias(name) for name in counted],
+        *per_source,
     )
 
 
 def _with_median_fare(summary: DataFrame, df: DataFrame, exact: bool) -> DataFrame:
-    if not exact:
-        return summary
-    median = exact_percentiles(df, ["PULocationID"], "total_amount", {"_median": 0.5})
+    if exact:
+        median = exact_percentiles(df, ["PULocationID"], "total_amount", {"_median": 0.5})
+    else:
+        median = df.groupBy("PULocationID").agg(F.percentile_approx("total_amount", 0.5).alias("_median"))
     dim = zone_dimension(median, "PULocationID", "_median")
     return summary.join(F.broadcast(dim), "PULocationID", "left").withColumn(
         "median_fare", round_half_up(F.col("_median"), 2)
     ).drop("_median")
 
 
-def _approx_median(exact: bool) -> list[Column]:
-    if exact:
-        return []
-    return [round_half_up(F.percentile_approx("total_amount", 0.5), 2).alias("median_fare")]
-
-
 def zone_demand(df: DataFrame, exact_median: bool = True) -> DataFrame:
     """Demand summary per pickup zone over both services.
 
     Bands are conditional counts in the one aggregate, not a second grouping with a
-    pivot and a join. With ``exact_median=False`` the median is a sketch in the same
-    pass as well.
+    pivot and a join. ``exact_median=False`` takes the median from a sketch.
     """
-    per_source = []
-    for name in SOURCES:
-        of_source = F.col("source") == name
-        per_source += _zone_metrics(of_source, f"_{name}")
-        per_source.append(count_if(of_source).alias(f"trips_{name}"))
-    summary = _zone_summary(df, ZONE_KEYS, per_source + _approx_median(exact_median))
+    summary = _zone_summary(df, {}, SOURCES)
     return _with_median_fare(_per_day(summary), df, exact_median).withColumn(
         "yellow_share_pct",
         round_half_up(ratio(F.col("trips_yellow"), F.col("total_trips"), 100), 1),
@@ -125,14 +143,12 @@ def zone_demand(df: DataFrame, exact_median: bool = True) -> DataFrame:
 
 def zone_demand_by_service(df: DataFrame, exact_median: bool = True) -> DataFrame:
     """The summary of one service; works on trips of any single source."""
-    summary = _zone_summary(df, ZONE_KEYS, _approx_median(exact_median))
-    return _with_median_fare(_per_day(summary), df, exact_median)
+    return _with_median_fare(_per_day(_zone_summary(df, {})), df, exact_median)
 
 
 def zone_demand_ses(df: DataFrame, exact_median: bool = True) -> DataFrame:
     """The summary plus trips ending in high-SES zones (needs ``is_high_SES``)."""
-    to_high = count_if(F.col("is_high_SES")).alias("trips_to_high_SES")
-    summary = _zone_summary(df, ZONE_KEYS, [to_high] + _approx_median(exact_median))
+    summary = _zone_summary(df, {"trips_to_high_SES": F.col("is_high_SES")})
     return _with_median_fare(_per_day(summary), df, exact_median).withColumn(
         "trips_to_high_SES_pct",
         round_half_up(ratio(F.col("trips_to_high_SES"), F.col("total_trips")), 2),
