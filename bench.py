@@ -62,7 +62,7 @@ def main() -> None:
                 "value": round(sum(timings.values()), 3),
                 "unit": "sec",
                 "queries": timings,
-                "sf": os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf"),
+                "sf": float(os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf")),
             }
         )
     )

@@ -6,6 +6,7 @@ holds the same derivations as SQL text.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tripflow.config import FHVHV, GREEN, YELLOW
@@ -163,19 +164,26 @@ def landed_path(spark: SparkSession, sf: str, name: str, write) -> str:
 
 
 def landed(spark: SparkSession, sf: str, name: str, write) -> DataFrame:
-    return spark.read.parquet(landed_path(spark, sf, name, write))
+    """The named table; written again if the folder has been emptied since."""
+    try:
+        return spark.read.parquet(landed_path(spark, sf, name, write))
+    except AnalysisException:
+        _LANDED.pop((spark.sparkContext.applicationId, sf, name))
+        return spark.read.parquet(landed_path(spark, sf, name, write))
+
+
+def _raw_writer(spark: SparkSession, sf: str, name: str):
+    derive = {"yellow": yellow_raw, "green": green_raw, "fhvhv": fhvhv_raw}[name]
+    return lambda path: derive(spark, sf).write.parquet(path)
 
 
 def raw_path(spark: SparkSession, sf: str, name: str) -> str:
     """Folder with the raw trip files of a service."""
-    derive = {"yellow": yellow_raw, "green": green_raw, "fhvhv": fhvhv_raw}[name]
-    return landed_path(
-        spark, sf, f"{name}_raw", lambda path: derive(spark, sf).write.parquet(path)
-    )
+    return landed_path(spark, sf, f"{name}_raw", _raw_writer(spark, sf, name))
 
 
 def _landed_raw(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(raw_path(spark, sf, name))
+    return landed(spark, sf, f"{name}_raw", _raw_writer(spark, sf, name))
 
 
 def _landed_trips(spark: SparkSession, sf: str, name: str, raw: DataFrame, service) -> DataFrame:
