@@ -467,7 +467,10 @@ def histogram_sql(source, value, bins):
 
 @register("duration_hist", query(histogram_sql("short_ones", "minutes", 8) + " UNION ALL " + histogram_sql("works", "hours", 24), CATEGORISED))
 def duration_hist(spark, sf):
-    lasting = events.durations(inputs.incidents(spark, sf))
+    # Stored once: both histograms and their ranges read it.
+    lasting = inputs.landed(
+        spark, sf, "durations", lambda p: events.durations(inputs.incidents(spark, sf)).write.parquet(p)
+    )
     both = events.duration_histogram(lasting).unionByName(events.construction_histogram(lasting))
     return rounded(both, probability=6, bin_center=4)
 
