@@ -7,8 +7,8 @@ anchor at the same place, so a repeated window has an anchor whose gram occurs t
 occurs elsewhere repeats as a whole; of the other cells with a common gram the single windows are ordered
 by their content and, among equals, by position. In that order the next smaller position before a window is its
 previous factor and the one after it a later copy: the longest previous factor reaches ``LENGTH``
-if a row with the same content stands before it. That needs a count and a first position per content,
-both partial aggregates, so a string in a third of all documents is no hot group.
+if a row with the same content stands before it. A gram with very many contents is split: there
+a count and a first position per window content, both partial aggregates, say the same.
 
 Defined cases: a null text is empty; a text shorter than ``LENGTH`` loses nothing; repeated rows are copies of each
 other; null ids are kept; other columns are ignored; an empty table gives no rows.
@@ -20,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +31,9 @@ GRAM = 64
 #: Odd base of the rolling hash and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 BYTE_VALUES = seeded(256, 3)
-CELLS = "row long, first int, last int, gram long, span long"
+CELLS = "row long, first int, last int, gram long, span long, copy boolean, many boolean"
+#: Contents of one gram that a task compares; grams with more are split by content.
+GROUP_CELLS = 2_000
 
 
 def powers(base: int, count: int) -> np.ndarray:
@@ -84,13 +87,41 @@ def signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64).view(np.int64)
 
 
+def packed_texts(texts: DataFrame) -> DataFrame:
+    """The texts compressed, so that a shuffle moves less."""
+
+    def pack(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            data = [squeeze(text.encode("utf-8", "surrogatepass")) for text in batch["text"]]
+            frame = batch[["row"]].assign(doc_id=batch["doc_id"].astype("Int64"), data=data)
+            yield frame
+
+    return texts.mapInPandas(pack, "row long, doc_id long, data binary")
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+
+
+def equal_windows(grams: np.ndarray, contents: np.ndarray, rows: np.ndarray, starts: np.ndarray, keep_first: bool) -> np.ndarray:
+    """Which windows have an equal one (before them, in position order, for ``keep_first``)."""
+    order = np.lexsort((starts, rows, contents, grams))
+    same = (grams[order][1:] == grams[order][:-1]) & (contents[order][1:] == contents[order][:-1])
+    previous, following = np.append(False, same), np.append(same, False)
+    out = np.zeros(len(order), bool)
+    out[order] = previous if keep_first else previous | following
+    return out
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept text.
 
-    ``keep_first`` leaves a window alone where no equal one stands before it (by row, then place).
+    ``docs`` is a stored table: its rows are numbered by their place in its files, the same in each
+    scan. ``keep_first`` leaves a window alone where no equal one stands before it (by row, then place).
     """
-    # The row number depends on the table's files alone, so both reads of the table agree on it.
-    texts = id_and_text(docs).withColumn("row", F.monotonically_increasing_id())
+    texts = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
+    texts = texts.withColumn("row", F.monotonically_increasing_id())
 
     def find_cells(batches):
         for batch in batches:
@@ -101,25 +132,61 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
                     parts.append((np.full(len(first), row), first, last, signed(grams), signed(spans)))
             if parts:
                 columns = [np.concatenate(column) for column in zip(*parts, strict=True)]
-                yield pd.DataFrame(dict(zip(["row", "first", "last", "gram", "span"], columns, strict=True)))
+                frame = pd.DataFrame(dict(zip(["row", "first", "last", "gram", "span"], columns, strict=True)))
+                # Copies inside the batch are settled here; one of each goes on, as the first of its kind.
+                again = frame.duplicated(["gram", "span"])
+                many = frame.duplicated(["gram", "span"], keep=False)
+                yield frame.assign(copy=again, many=many)
 
-    def find_windows(batches):
+    def find_contexts(batches):
         for batch in batches:
             parts = []
-            for row, text, cells in zip(batch["row"], batch["text"], batch["cells"], strict=True):
-                hashes = Rolling(text_bytes(text)).windows(length)
-                for cell in cells:
-                    start = np.arange(cell["first"], cell["last"] + 1)
-                    parts.append((np.full(len(start), row), start, signed(hashes[start]), np.full(len(start), cell["gram"])))
-            if parts:
-                columns = [np.concatenate(column) for column in zip(*parts, strict=True)]
-                yield pd.DataFrame(dict(zip(["row", "start", "content", "gram"], columns, strict=True)))
+            for row, data, cells in zip(batch["row"], batch["data"], batch["cells"], strict=True):
+                text = unpacked(data)
+                parts += [
+                    (row, cell["first"], cell["last"], cell["gram"], text[cell["first"] : cell["last"] + length].tobytes())
+                    for cell in cells
+                ]
+            yield pd.DataFrame(parts, columns=["row", "first", "last", "gram", "context"])
+
+    def windows_of(frame: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        found = [Rolling(np.frombuffer(context, np.uint8)).windows(length) for context in frame["context"]]
+        sizes = np.array([len(one) for one in found])
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        starts = np.repeat(frame["first"].to_numpy(), sizes) + within
+        return np.repeat(frame["gram"].to_numpy(), sizes), signed(np.concatenate(found)), np.repeat(frame["row"].to_numpy(), sizes), starts
+
+    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        grams, contents, rows, starts = windows_of(frame)
+        hit = equal_windows(grams, contents, rows, starts, keep_first)
+        rows, starts = rows[hit], starts[hit]
+        order = np.lexsort((starts, rows))
+        rows, starts = rows[order], starts[order]
+        head = np.append(True, (np.diff(rows) != 0) | (np.diff(starts) > 1))[: len(rows)]
+        tail = np.append(head[1:], True)[: len(rows)]
+        return pd.DataFrame({"row": rows[head], "first": starts[head], "last": starts[tail]})
+
+    def settle_small(batches):
+        held = None
+        for batch in batches:  # sorted by gram; a gram that may go on waits for the next batch
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            open_gram = held["gram"] == held["gram"].iloc[-1]
+            if not open_gram.all():
+                yield settle(held[~open_gram])
+                held = held[open_gram]
+        if held is not None and len(held):
+            yield settle(held)
+
+    def explode_windows(batches):
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame(dict(zip(["gram", "content", "row", "start"], windows_of(batch), strict=True)))
 
     def cut(batches):
         for batch in batches:
             rows = []
-            for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
-                data = text_bytes(text)
+            for doc_id, packed, spans in zip(batch["doc_id"], batch["data"], batch["spans"], strict=True):
+                data = unpacked(packed)
                 change = np.zeros(len(data) + 1, np.int32)
                 for span in spans if spans is not None else ():
                     change[span["first"]] += 1
@@ -127,58 +194,55 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
                 gone = np.cumsum(change[:-1]) > 0
                 kept = data[~gone].tobytes()
                 runs = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-                digest = hashlib.sha256(kept).hexdigest()
-                rows.append((doc_id, len(data), int(gone.sum()), runs, digest, kept))
+                rows.append((doc_id, len(data), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept))
             frame = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
     cells = land(texts.select("row", "text").mapInPandas(find_cells, CELLS), "cells")
-    grams = (
-        cells.groupBy("gram", "span")
-        .agg(F.count("*").alias("n"), F.min(F.struct("row", "first")).alias("head"))
-        .groupBy("gram")
-        .agg(F.sum("n").alias("n"), F.count("*").alias("contents"))
-        .where("n > 1")
-        .select("gram", "contents")
-    )
-    shared = land(cells.join(grams, "gram"), "shared")
-    # Whole spans that occur twice; a content has one head, its first place.
-    contents = (
-        shared.groupBy("gram", "span")
-        .agg(F.count("*").alias("n"), F.min(F.struct("row", "first")).alias("head"))
-        .where("n > 1")
+    by_gram, by_span = Window.partitionBy("gram"), Window.partitionBy("gram", "span")
+    placed = land(
+        cells.where("not copy")
+        .drop("copy")
+        .withColumn("nth", F.row_number().over(by_span.orderBy("row", "first")))
+        .withColumn("copied", F.col("many") | (F.count("*").over(by_span) > 1))
+        .withColumn("contents", F.sum(F.when(F.col("nth") == 1, 1)).over(by_gram))
+        .where("copied or contents > 1")
+        .select("row", "first", "last", "gram", "contents", "copied", (F.col("nth") == 1).alias("head")),
+        "placed",
     )
-    placed = shared.join(contents, ["gram", "span"], "left")
-    is_head = (F.col("head.row") == F.col("row")) & (F.col("head.first") == F.col("first"))
-    placed = land(placed.select(
-        "row", "first", "last", "gram", "contents", F.col("n").isNotNull().alias("copied"),
-        F.coalesce(is_head, F.lit(True)).alias("head"),
-    ), "placed")
-    whole = placed.where(F.col("copied") & ~F.col("head") if keep_first else F.col("copied"))
-    # One of each content decides the single windows of the rest.
-    wanted = placed.where((F.col("contents") > 1) & F.col("head")).groupBy("row").agg(
+    whole = placed.where(F.col("copied") & ~F.col("head") if keep_first else F.col("copied")).select("row", "first", "last")
+    whole = whole.unionByName(cells.where("copy").select("row", "first", "last"))
+    # One cell of each content decides the single windows of cells that do not repeat as a whole.
+    wanted = placed.where("contents > 1 and head").groupBy("row").agg(
         F.collect_list(F.struct("first", "last", "gram")).alias("cells")
     )
-    windows = land(
-        texts.select("row", "text").join(wanted, "row").mapInPandas(find_windows, "row long, start int, content long, gram long"),
-        "windows",
+    contexts = (
+        packed_texts(texts)
+        .join(wanted, "row")
+        .select("row", "data", "cells")
+        .mapInPandas(find_contexts, "row long, first int, last int, gram long, context binary")
     )
+    hot = placed.where(F.col("contents") > GROUP_CELLS).select("gram").distinct().withColumn("hot", F.lit(True))
+    contexts = land(contexts.join(hot, "gram", "left"), "contexts")
+    small = (
+        contexts.where("hot is null")
+        .select("row", "first", "gram", "context")
+        .repartition("gram")
+        .sortWithinPartitions("gram")
+        .mapInPandas(settle_small, "row long, first int, last int")
+    )
+    # Grams with very many contents are split by the content of each window.
+    windows = contexts.where("hot").mapInPandas(explode_windows, "gram long, content long, row long, start int")
     equal = windows.groupBy("gram", "content").agg(
         F.count("*").alias("n"), F.min(F.struct("row", "start")).alias("previous")
     ).where("n > 1")
     single = windows.join(equal, ["gram", "content"])
     if keep_first:
         single = single.where((F.col("previous.row") != F.col("row")) | (F.col("previous.start") != F.col("start")))
-    along = Window.partitionBy("row").orderBy("start")
-    runs = (
-        single.select("row", "start", (F.col("start") - F.row_number().over(along)).alias("run"))
-        .groupBy("row", "run")
-        .agg(F.min("start").alias("first"), F.max("start").alias("last"))
-        .select("row", "first", "last")
-    )
-    spans = whole.select("row", "first", "last").unionByName(runs).groupBy("row").agg(
+    single = single.select("row", F.col("start").alias("first"), F.col("start").alias("last"))
+    spans = whole.unionByName(small).unionByName(single).groupBy("row").agg(
         F.collect_list(F.struct("first", "last")).alias("spans")
     )
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return texts.withColumn("doc_id", F.col("doc_id").cast("long")).join(spans, "row", "left").mapInPandas(cut, result)
+    return packed_texts(texts).join(spans, "row", "left").mapInPandas(cut, result)
