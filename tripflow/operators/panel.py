@@ -53,12 +53,13 @@ def fill_gaps(panel: DataFrame, columns: list[str]) -> DataFrame:
     A window holds the hours of one zone: some 8,800 rows per year of data.
     """
     before = _zone_hours().rowsBetween(Window.unboundedPreceding, 0)
-    after = _zone_hours().rowsBetween(0, Window.unboundedFollowing)
+    # Backwards in time, so that the frame grows row by row instead of being read anew for each.
+    after = Window.partitionBy("zone_id").orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, 0)
     return panel.withColumns(
         {
             c: F.coalesce(
                 F.last(c, ignorenulls=True).over(before),
-                F.first(c, ignorenulls=True).over(after),
+                F.last(c, ignorenulls=True).over(after),
                 F.lit(0.0),
             )
             for c in columns

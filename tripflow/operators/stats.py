@@ -107,6 +107,8 @@ def stratified_sample(df: DataFrame, key: list[str], fraction: float, seed: int
     no shuffle and does not change with the partitioning; equal fractions in all hour
     strata make separate strata unnecessary.
     """
+    if fraction >= 1:
+        return df
     threshold = f"{min(int(fraction * 2**32), 2**32 - 1):08x}"
     return df.where(F.substring(_digest(key, seed), 1, 8) < threshold)
 

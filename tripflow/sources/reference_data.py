@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from tripflow import schemas
 from tripflow.config import MAX_ZONE_ID
@@ -85,14 +86,24 @@ def load_poi_elements(spark: SparkSession, path: str, category: str) -> DataFram
     return flatten_poi_elements(spark.read.schema(schemas.POI_ELEMENT).json(path), category)
 
 
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The schema's columns of a CSV file, found by their header names in any order.
+
+    Other columns are left out, a missing one is an error. Quoted fields may hold doubled quotes and
+    line breaks.
+    """
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return rows.select(*(F.col(f"`{field.name}`").cast(field.dataType).alias(field.name) for field in StructType.fromDDL(schema)))
+
+
 def load_sales(spark: SparkSession, path: str) -> DataFrame:
     """Property sales from CSV with an explicit schema (no inference pass)."""
-    return spark.read.schema(schemas.SALES).option("header", True).csv(path)
+    return read_csv(spark, path, schemas.SALES)
 
 
 def load_incident_history(spark: SparkSession, path: str) -> DataFrame:
     """Traffic event history from CSV with an explicit schema."""
-    return spark.read.schema(schemas.INCIDENT_HISTORY).option("header", True).csv(path)
+    return read_csv(spark, path, schemas.INCIDENT_HISTORY)
 
 
 def load_event_feed(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
@@ -106,7 +117,7 @@ def load_camera_feed(spark: SparkSession, path: str, multiline: bool = False) ->
 
 def load_zone_geometry(spark: SparkSession, path: str) -> DataFrame:
     """Zone outlines as text (WKT) from CSV."""
-    return spark.read.schema(schemas.ZONE_GEOMETRY).option("header", True).csv(path)
+    return read_csv(spark, path, schemas.ZONE_GEOMETRY)
 
 
 def zone_dimension(df: DataFrame, id_col: str, *columns: str, max_id: int = MAX_ZONE_ID) -> DataFrame:
