@@ -18,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +34,18 @@ MULTIPLIERS = seeded(TREES * DEPTH, 7)[:, None]
 FEATURES = "doc_id long, n_shingles long, set_key binary, signature binary"
 
 
+def words_of(text: str) -> list[bytes]:
+    """Words end at ASCII white space, A-Z are lower-cased."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def set_of(words: list[bytes]) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    return np.unique(shingle_hashes(word_hashes(words)))
+
+
 def shingle_set(text: str) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; words end at ASCII white space, A-Z are lower-cased."""
-    return np.unique(shingle_hashes(word_hashes(text.encode("utf-8", "surrogatepass").lower().split())))
+    return set_of(words_of(text))
 
 
 def signature(shingles: np.ndarray) -> bytes:
@@ -105,33 +115,46 @@ def region_rows(distinct: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity."""
+    """Pairs (a, b) whose full sets reach the similarity.
+
+    Compressed words travel, as they are much smaller than their sets of hashes.
+    """
 
     def check(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            keep = []
-            for left, right in zip(batch["left"], batch["right"], strict=True):
-                one, two = np.frombuffer(left, "<u8"), np.frombuffer(right, "<u8")
+            keep, held, two = [], None, None
+            for a, b, left, right in zip(batch["a"], batch["b"], batch["left"], batch["right"], strict=True):
+                if b != held:  # a merge join leaves the partners of one b together
+                    held, two = b, set_of(unpack(right).split())
+                one = set_of(unpack(left).split())
                 common = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(100 * common >= percent * (len(one) + len(two) - common))
             yield batch.loc[keep, ["a", "b"]]
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"), F.col("n").alias("n_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"), F.col("n").alias("n_b"))
+    left = sets.select(F.col("doc_id").alias("a"), F.col("words").alias("left"), F.col("n").alias("n_a"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("words").alias("right"), F.col("n").alias("n_b"))
     sizes = pairs.join(left.drop("left"), "a").join(right.drop("right"), "b")
     close = sizes.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
     return close.join(left.drop("n_a"), "a").join(right.drop("n_b"), "b").mapInPandas(check, "a long, b long")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def packed_words(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Per document: doc_id, size of its set, its words compressed."""
+
     def rows(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            found = [shingle_set(text) for text in batch["text"]]
+            words = [words_of(text) for text in batch["text"]]
             yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "n": [len(one) for one in found], "shingles": [one.tobytes() for one in found]}
+                {
+                    "doc_id": batch["doc_id"],
+                    "n": [len(set_of(one)) for one in words],
+                    "words": [squeeze(b" ".join(one)) for one in words],
+                }
             )
 
-    return id_and_text(docs).join(ids, "doc_id", "left_semi").mapInPandas(rows, "doc_id long, n long, shingles binary")
+    return id_and_text(docs).join(ids, "doc_id", "left_semi").mapInPandas(rows, "doc_id long, n long, words binary")
 
 
 def ordered_pairs(pairs: DataFrame) -> DataFrame:
@@ -166,7 +189,7 @@ def link_regions(docs: DataFrame, distinct: DataFrame, percent: int) -> DataFram
     size = members.groupBy("tree", "region").agg(F.count("*").alias("size")).where("size > 1")
     members = land(members.join(size, ["tree", "region"]), "members")
     central = members.groupBy("doc_id").agg(F.sum("size").alias("central"))
-    sets = land(shingle_sets(docs, central.select("doc_id")).dropDuplicates(["doc_id"]), "sets")
+    sets = land(packed_words(docs, central.select("doc_id")).dropDuplicates(["doc_id"]), "sets")
     labels = central.select("doc_id", F.col("doc_id").alias("component"))
     near = members.where("linked").select(F.least("doc_id", "next").alias("a"), F.greatest("doc_id", "next").alias("b"))
     near = land(near.groupBy("a", "b").agg(F.count("*").alias("orders")), "neighbours")
