@@ -51,16 +51,25 @@ def test_mode_prefers_the_smallest(spark):
 
 # ---- joins ------------------------------------------------------------------
 
+@pytest.fixture(params=["10m", "-1"], ids=["broadcast", "shuffled"])
+def join_size(spark, request):
+    """The same joins with and without small tables being broadcast."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, request.param)
+    yield request.param
+    spark.conf.set(key, before)
+
+
 def skewed_fact(spark):
     return spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).cast("int").alias("k"))
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-@pytest.mark.parametrize("max_rows", [1000, 5], ids=["broadcast", "salted"])
-def test_join_dimension_equals_a_plain_join(spark, how, max_rows):
-    fact = skewed_fact(spark)
+def test_join_dimension_equals_a_plain_join(spark, join_size, how):
+    fact = skewed_fact(spark).withColumn("tags", F.create_map(F.lit("name"), F.col("id")))
     dim = spark.range(40).select(F.col("id").cast("int").alias("k"), (F.col("id") * 10).alias("v"))
-    got = joins.join_dimension(fact, dim, ["k"], how, max_rows=max_rows)
+    got = joins.join_dimension(fact, dim, ["k"], how)
     want = fact.join(dim, "k", how)
     columns = ["id", "k", "v"]
     assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
@@ -69,14 +78,17 @@ def test_join_dimension_equals_a_plain_join(spark, how, max_rows):
 def test_salted_outer_join_keeps_rows_failing_the_condition(spark):
     fact = skewed_fact(spark)
     dim = spark.range(50).select(F.col("id").cast("int").alias("k"), (F.col("id") * 10).alias("v"))
+    fact = fact.withColumn("tags", F.create_map(F.lit("name"), F.col("id")))
     got = joins.salted_join(fact, dim, ["k"], "left", F.col("v") < 100)
     assert got.count() == fact.count()
     assert got.where("v is null").select(F.min("k")).first()[0] == 10
 
 
-def test_zone_dimension_is_bounded_and_unique(spark):
-    df = spark.createDataFrame([(1, "b"), (1, "a"), (265, "z"), (266, "x"), (0, "y"), (None, "n")], "id int, name string")
-    assert sorted(map(tuple, zone_dimension(df, "id", "name").collect())) == [(1, "a"), (265, "z")]
+def test_zone_dimension_keeps_all_ids_once(spark):
+    rows = [(1, "b"), (1, "a"), (265, "z"), (266, "x"), (1000, "w"), (0, "y"), (None, "n")]
+    df = spark.createDataFrame(rows, "id int, name string")
+    want = [(0, "y"), (1, "a"), (265, "z"), (266, "x"), (1000, "w")]
+    assert sorted(map(tuple, zone_dimension(df, "id", "name").collect())) == want
 
 
 # ---- space ------------------------------------------------------------------
@@ -104,9 +116,7 @@ def wkt(polygons):
 
 
 @pytest.mark.parametrize("cell", [0.7, 5.0, None])
-@pytest.mark.parametrize("edges_bound", [1_000_000, 1], ids=["broadcast", "salted"])
-def test_within_matches_brute_force(spark, monkeypatch, cell, edges_bound):
-    monkeypatch.setattr(spatial, "MAX_BROADCAST_EDGES", edges_bound)
+def test_within_matches_brute_force(spark, join_size, cell):
     rng = random.Random(5)
     shapes = {}
     for i in range(6):
@@ -116,7 +126,7 @@ def test_within_matches_brute_force(spark, monkeypatch, cell, edges_bound):
         shapes[i] = [[shell, hole], [star(rng, cx + 4.5, cy + 4.5, 0.4, 7)]]
     zones = spark.createDataFrame([(i, wkt(p)) for i, p in shapes.items()], "id int, geometry string")
     points = [(j, rng.uniform(-13, 20), rng.uniform(-10, 13)) for j in range(400)]
-    df = spark.createDataFrame(points, "j int, x double, y double")
+    df = spark.createDataFrame(points, "j int, x double, y double").withColumn("tags", F.create_map(F.lit("name"), F.col("j")))
     got = {}
     for row in spatial.within(df, zones, "x", "y", "left", cell).collect():
         got.setdefault(row["j"], set()).add(row["id"])

@@ -48,9 +48,8 @@ def test_zone_joins_broadcast_the_zones(spark, sf):
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
 
 
-def test_too_large_dimension_is_not_broadcast(spark):
+def test_dimension_joins_run_no_job_and_hint_no_broadcast(spark):
     fact = spark.range(100).withColumn("k", F.col("id") % 10)
-    dim = spark.range(50).withColumnRenamed("id", "k").withColumn("v", F.lit(1))
-    small = plan(joins.join_dimension(fact, dim, ["k"], max_rows=50))
-    assert "Join LeftOuter" in small and "strategy=broadcast" in small
-    assert "strategy=broadcast" not in plan(joins.join_dimension(fact, dim, ["k"], max_rows=49))
+    dim = spark.range(50).withColumnRenamed("id", "k").withColumn("v", F.raise_error(F.lit("a job ran")))
+    text = plan(joins.join_dimension(fact, dim, ["k"]))
+    assert "Join LeftOuter" in text and "strategy=broadcast" not in text

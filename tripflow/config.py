@@ -6,7 +6,6 @@ from dataclasses import dataclass, replace
 
 # ---- fixed values -----------------------------------------------------------
 # Zone ids
-MAX_ZONE_ID = 265            # highest id of the zone lookup, unknown zones included
 UNKNOWN_ZONES = (264, 265)
 AIRPORT_ZONES = (1, 132, 138)
 CBD_CORE_ZONES = (161, 162, 163, 164, 186, 229, 230, 231)

@@ -15,7 +15,7 @@ SIDES = {"pickup": "PULocationID", "dropoff": "DOLocationID"}
 def join_zones(df: DataFrame, zones: DataFrame, how: str = "left") -> DataFrame:
     """Borough, zone and service zone of both ends.
 
-    The zone dimension has at most one row per valid id, so its broadcast is bounded.
+    The zone dimension has one row per id, so no trip is doubled.
     """
     dim = zone_dimension(zones, "LocationID", "Borough", "Zone", "service_zone")
     for side, key in SIDES.items():
@@ -25,7 +25,7 @@ def join_zones(df: DataFrame, zones: DataFrame, how: str = "left") -> DataFrame:
             F.col("Zone").alias(f"{side}_zone"),
             F.col("service_zone").alias(f"{side}_service_zone"),
         )
-        df = df.join(F.broadcast(named), F.col(key) == F.col("_zone_id"), how).drop("_zone_id")
+        df = df.join(named, F.col(key) == F.col("_zone_id"), how).drop("_zone_id")
     return df
 
 
@@ -36,7 +36,7 @@ def join_pois(df: DataFrame, pois: DataFrame, columns: list[str], id_col: str =
         named = dim.select(
             F.col(id_col).alias("_zone_id"), *[F.col(c).alias(prefix + c) for c in columns]
         )
-        df = df.join(F.broadcast(named), F.col(key) == F.col("_zone_id"), "left").drop("_zone_id")
+        df = df.join(named, F.col(key) == F.col("_zone_id"), "left").drop("_zone_id")
     return df
 
 
@@ -54,12 +54,11 @@ def join_weather(
     weather: DataFrame,
     columns: list[str],
     required: list[str] | None = None,
-    broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """Weather of the pickup hour and zone; only rows complete in ``required`` stay.
 
-    Nine million zone-hours are too many to broadcast, so beyond ``broadcast_rows``
-    the join is by hash with salted zone-hours.
+    Trips meet readings on zone and hour; adaptive execution broadcasts a small table
+    and splits a crowded zone-hour.
     """
     keyed = df.withColumns(
         {"weather_hour": hour_floor("pickup_datetime"), "weather_zone": F.col("PULocationID")}
@@ -69,7 +68,6 @@ def join_weather(
         weather_by_hour(weather, columns),
         ["weather_zone", "weather_hour"],
         how="inner",
-        max_rows=broadcast_rows,
     )
     return joined.na.drop(subset=required or columns).drop("weather_hour", "weather_zone")
 
@@ -97,7 +95,7 @@ def keep_boroughs(df: DataFrame, zones: DataFrame, pickup: str, dropoff: str) ->
     dim = zone_dimension(zones, "LocationID", "Borough")
     for key, borough in (("PULocationID", pickup), ("DOLocationID", dropoff)):
         ids = dim.where(F.col("Borough") == borough).select(F.col("LocationID").alias(key))
-        df = df.join(F.broadcast(ids), key, "left_semi")
+        df = df.join(ids, key, "left_semi")
     return df
 
 
@@ -105,7 +103,7 @@ def flag_high_ses(df: DataFrame, ses: DataFrame) -> DataFrame:
     """Whether the dropoff zone has a high-SES place (null for an unknown zone)."""
     dim = zone_dimension(ses.withColumn("is_high_SES", F.col("high_SES_count") > 0), "id", "is_high_SES")
     return df.join(
-        F.broadcast(dim.withColumnRenamed("id", "_zone_id")),
+        dim.withColumnRenamed("id", "_zone_id"),
         F.col("DOLocationID") == F.col("_zone_id"),
         "left",
     ).drop("_zone_id")
@@ -122,7 +120,7 @@ def tip_baseline(train: DataFrame, test: DataFrame, tip: str = "tip_amount") ->
         .agg(F.avg(tip).alias("predicted_tip"))
     )
     dim = zone_dimension(means, "PULocationID", "predicted_tip")
-    return test.join(F.broadcast(dim), "PULocationID", "left").withColumn(
+    return test.join(dim, "PULocationID", "left").withColumn(
         "predicted_category", F.coalesce(tip_category(F.col("predicted_tip")), F.lit(4))
     )
 

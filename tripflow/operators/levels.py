@@ -116,6 +116,6 @@ def wealth_inputs(demand: DataFrame, ses: DataFrame, sales: DataFrame) -> DataFr
     prices = zone_dimension(
         sales, "taxi_zone_id", "mean_price_per_sqft", "median_price_per_sqft", "num_sells"
     ).withColumnRenamed("taxi_zone_id", "PULocationID")
-    return demand.join(F.broadcast(low), "PULocationID", "left").join(
-        F.broadcast(prices), "PULocationID", "left"
+    return demand.join(low, "PULocationID", "left").join(
+        prices, "PULocationID", "left"
     )

@@ -99,7 +99,7 @@ def expected_tip_by_zone(scores: DataFrame, zones: DataFrame) -> DataFrame:
     )
     return zones.select(
         F.col("LocationID").alias("zone_id"), F.col("Zone").alias("zone_name"), F.col("Borough").alias("borough")
-    ).join(F.broadcast(dim), "zone_id", "left").withColumns(
+    ).join(dim, "zone_id", "left").withColumns(
         {"top_category": category, "expected_tip_usd": sum(parts[1:], parts[0])}
     )
 

@@ -161,7 +161,7 @@ def counts_by_zone(
     )
     dim = zone_dimension(pivoted, "id", *[f"`{v}`" for v in values])
     base = zones.select("id", *zone_columns)
-    return base.join(F.broadcast(dim), "id", "left").na.fill(0, subset=values)
+    return base.join(dim, "id", "left").na.fill(0, subset=values)
 
 
 def density(counts: DataFrame, columns: list[str], area: str = "area_miles2") -> DataFrame:
@@ -202,7 +202,7 @@ def by_borough(located: DataFrame, zones: DataFrame) -> DataFrame:
     """
     dim = zone_dimension(zones, "id", "borough")
     counts = (
-        located.join(F.broadcast(dim), "id")
+        located.join(dim, "id")
         .groupBy("borough", poi_group(F.col("poi_type")).alias("poi_group"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -266,7 +266,7 @@ def ses_index(located: DataFrame, zones: DataFrame, corrected_sign: bool = False
     )
     dim = zone_dimension(scores, "id", "high_SES_count", "low_SES_count")
     area = F.when(F.col("area_miles2") != 0, F.col("area_miles2"))
-    joined = zones.join(F.broadcast(dim), "id", "left").na.fill(
+    joined = zones.join(dim, "id", "left").na.fill(
         0, subset=["high_SES_count", "low_SES_count"]
     )
     low = F.col("low_SES_density")

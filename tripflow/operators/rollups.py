@@ -123,7 +123,7 @@ def _with_median_fare(summary: DataFrame, df: DataFrame, exact: bool) -> DataFra
     else:
         median = df.groupBy("PULocationID").agg(F.percentile_approx("total_amount", 0.5).alias("_median"))
     dim = zone_dimension(median, "PULocationID", "_median")
-    return summary.join(F.broadcast(dim), "PULocationID", "left").withColumn(
+    return summary.join(dim, "PULocationID", "left").withColumn(
         "median_fare", round_half_up(F.col("_median"), 2)
     ).drop("_median")
 

@@ -6,9 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tripflow.operators.joins import salted_join
+from tripflow.operators.joins import join_dimension
 
-MAX_BROADCAST_EDGES = 1_000_000
 
 
 # ---- parsing ----------------------------------------------------------------
@@ -139,9 +138,8 @@ def within(
     neighbours share no point; holes and multi-part zones follow from the parity of
     crossed edges. ``how="left"`` keeps points outside all zones.
 
-    Points and zones meet on their grid cell. The cells are broadcast after their
-    number of edges has been checked; beyond the bound the points are shuffled by
-    cell with a salt, for crowded cells.
+    Points and zones meet on their grid cell, by one equality join: adaptive execution
+    broadcasts few cells and splits crowded ones.
     """
     size = cell or cell_size(zones, geometry=geometry)
     cells = grid_cells(zones, id_col, size, geometry)
@@ -155,13 +153,8 @@ def within(
     )
     inside = F.size(F.filter(F.col("edges"), lambda e: _crossed(e, F.col("_x"), F.col("_y")))) % 2 == 1
     helpers = ["_x", "_y", "_point_x", "_point_y", "edges"]
-    total = cells.agg(F.sum(F.size("edges"))).first()[0] or 0
-    if total <= MAX_BROADCAST_EDGES:
-        same_cell = (F.col("_point_x") == F.col("cell_x")) & (F.col("_point_y") == F.col("cell_y"))
-        joined = located.join(F.broadcast(cells), same_cell & inside, how).drop("cell_x", "cell_y")
-    else:
-        keyed = cells.withColumnsRenamed({"cell_x": "_point_x", "cell_y": "_point_y"})
-        joined = salted_join(located, keyed, ["_point_x", "_point_y"], how, inside)
+    keyed = cells.withColumnsRenamed({"cell_x": "_point_x", "cell_y": "_point_y"})
+    joined = join_dimension(located, keyed, ["_point_x", "_point_y"], how, inside)
     return joined.drop(*helpers)
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from tripflow import schemas
-from tripflow.config import MAX_ZONE_ID
 from tripflow.functions.calendar import utc_to_local
 
 
@@ -120,15 +119,15 @@ def load_zone_geometry(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, schemas.ZONE_GEOMETRY)
 
 
-def zone_dimension(df: DataFrame, id_col: str, *columns: str, max_id: int = MAX_ZONE_ID) -> DataFrame:
-    """One row per valid zone id, hence at most ``max_id`` rows.
+def zone_dimension(df: DataFrame, id_col: str, *columns: str) -> DataFrame:
+    """One row per zone id, whatever its number; a null id is no zone.
 
-    The id range and the grouping prove the bound, so the result may be broadcast
-    whatever the size of the input. Of several rows for an id the smallest counts.
+    Of several rows for an id the smallest counts. Nothing bounds the number of ids, so joins with
+    the result carry no broadcast hint: Spark chooses by the size it finds.
     """
     picked = F.min(F.struct(*[F.col(c) for c in columns])).alias("_v")
     return (
-        df.where(F.col(id_col).between(1, max_id))
+        df.where(F.col(id_col).isNotNull())
         .groupBy(id_col)
         .agg(picked)
         .select(id_col, "_v.*")
