@@ -190,6 +190,17 @@ def test_chat_round_trip_and_best_branch(spark):
     assert (r.n_turns, r.loss_chars) == (3, 2)
 
 
+def test_reply_paths_of_deep_trees_cycles_and_repeats(spark):
+    links = [(1, k, k - 1 or None, 1.0) for k in range(1, 38)] + [(1, 50, 20, None)]  # a chain and a side branch
+    links += [(2, 1, 2, 1.0), (2, 2, 1, 1.0), (2, 3, 2, 1.0), (3, 5, 5, 1.0)]  # cycles and a message below one
+    rows = [(*link, "user", f"t{link[1]}") for link in links + [(1, 37, 36, 1.0)]]  # the last is a repeat
+    messages = spark.createDataFrame(rows, "tree long, key long, parent long, score double, role string, text string")
+    got = {r.branch: r.path for r in chat.best_paths(messages, 3).collect()}
+    assert got == {1: list(range(1, 38)), 2: [*range(1, 21), 50]}
+    (r,) = chat.digest(chat.format_conversations(messages)).collect()
+    assert (r.conv_id, r.n_turns) == (1, 38)
+
+
 def test_decontamination_against_brute_force(spark, docs, empty):
     draw = np.random.default_rng(2)
     words = [f"v{i}" for i in range(80)]
