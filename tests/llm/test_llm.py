@@ -265,3 +265,41 @@ def test_pipeline_stages(spark, sf, docs):
         kept = after
     packed = corpus_pipeline.run(spark, sf)
     assert packed.select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
+
+
+def test_near_duplicates_of_a_crowded_template(spark):
+    draw = np.random.default_rng(8)
+    template = [f"t{i}" for i in range(804)]
+    rows = [(i, template + [f"o{i}.{k}" for k in range(85)]) for i in range(600)]  # 0.82 to each other
+    pairs = [(int(a), 1000 + i) for i, a in enumerate(draw.choice(600, 40, replace=False))]
+    rows += [(b, rows[a][1][:-60] + [f"p{b}.{k}" for k in range(60)]) for a, b in pairs]  # 0.87 to a, 0.82 to all others
+    sets = {doc: set(near_dup.shingle_set(" ".join(words)).tolist()) for doc, words in rows}
+    assert all(100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) for a, b in pairs)
+    assert 100 * len(sets[0] & sets[1]) < 85 * len(sets[0] | sets[1])
+    table = spark.createDataFrame([(doc, " ".join(words)) for doc, words in rows], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(table).collect()}
+    partner = {b: a for a, b in pairs}
+    assert got == {doc: partner.get(doc, doc) for doc, _ in rows}
+
+
+@pytest.mark.parametrize("group_rows", [4000, 3])
+def test_crowd_pairs_lose_no_link(spark, monkeypatch, group_rows):
+    monkeypatch.setattr(near_dup, "GROUP_ROWS", group_rows)
+    draw = np.random.default_rng(9)
+    texts = []
+    for i in range(120):
+        words = [f"t{k}" for k in range(int(draw.integers(60, 120)))]
+        for at in draw.choice(len(words), int(draw.integers(0, 3)), replace=False):
+            words[at] = f"x{int(draw.integers(0, 40))}"
+        texts.append((i, " ".join(words)))
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    crowd = table.select("doc_id", F.col("doc_id").alias("component"))
+    words = near_dup.packed_words(table, crowd.select("doc_id"))
+    for percent in (80, 85):
+        links = near_dup.confirm(near_dup.crowd_pairs(crowd, words, percent), words, percent).collect()
+        sets = [set(near_dup.shingle_set(text).tolist()) for _, text in texts]
+        true = {
+            (a, b) for a in range(120) for b in range(a + 1, 120)
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+        }
+        assert true and {(r.a, r.b) for r in links} == true

@@ -5,9 +5,10 @@ are sorted in ``TREES`` orders, each by its own ``DEPTH`` values of the signatur
 that share at least ``LEAST`` leading values form a region. Candidates are, in turn:
 each document's most frequent neighbour over all orders, the central document of each
 region against the region's other components (repeated while that finds links), and
-the remaining neighbours in different components. In a crowded region a neighbour must share
-more leading values, so its depth follows its size. Every candidate is confirmed on the full
-shingle sets, so a reported link is always right.
+what these left open: in regions of up to ``CROWD`` rows all pairs of different components, and
+for the documents of larger regions with several components an exact search (``crowd_pairs``).
+So a link is missed only if its documents share no region in any order. Every candidate is
+confirmed on the full shingle sets, so a reported link is always right.
 
 Defined cases: null or blank texts have no shingles and no links; repeated rows count as copies
 (each gives a row); ties go to the smallest id; other columns are ignored; an empty table gives no rows.
@@ -28,8 +29,12 @@ from tripflow.llm.graph import components
 TREES = 16
 DEPTH = 8
 LEAST = 3
-#: Regions of more rows ask neighbours for one more common value per doubling.
+#: Regions of more rows ask neighbours for one more common value per doubling, and are searched by shingles at last.
 CROWD = 32
+#: Documents whose shingles are counted, most shingles kept as frequent, and rows of a shingle in one group.
+SAMPLE = 20_000
+FREQUENT = 100_000
+GROUP_ROWS = 4_000
 MULTIPLIERS = seeded(TREES * DEPTH, 7)[:, None]
 FEATURES = "doc_id long, n_shingles long, set_key binary, signature binary"
 
@@ -173,14 +178,122 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return land(joined.select("doc_id", F.coalesce("root", "component").alias("component")), "labels")
 
 
-def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose documents are in different components."""
-    return (
-        pairs.join(labels.select(F.col("doc_id").alias("a"), F.col("component").alias("ca")), "a")
-        .join(labels.select(F.col("doc_id").alias("b"), F.col("component").alias("cb")), "b")
-        .where("ca <> cb")
-        .select("a", "b")
+def open_regions(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members with their components, and the regions (tree, region, size) with several components."""
+    placed = members.join(labels, "doc_id")
+    regions = (
+        placed.groupBy("tree", "region")
+        .agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low <> high")
     )
+    return placed, regions.select("tree", "region", "size")
+
+
+def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that recur in a sample of the documents, sorted, with their estimated numbers of documents."""
+    share = max(1, sets.count() // SAMPLE)
+
+    def rows(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            if len(batch):
+                found = np.concatenate([set_of(unpack(words).split()).view(np.int64) for words in batch["words"]])
+                shingles, numbers = np.unique(found, return_counts=True)
+                yield pd.DataFrame({"shingle": shingles, "n": numbers})
+
+    sample = sets.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("words")
+    counts = sample.mapInPandas(rows, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2")
+    found = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
+    found = np.array([(row["shingle"], row["n"] * share) for row in found], np.int64).reshape(-1, 2)
+    found = found[np.argsort(found[:, 0])]
+    return found[:, 0], found[:, 1]
+
+
+def crowd_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different components in ``crowd`` (doc_id, component) that can reach the similarity.
+
+    Shingles have one order, rare ones first. Two similar sets have a first common shingle in it, behind which each
+    still holds as many as they must share; so each set gives only its first shingles, and partners for one are
+    those whose size its rest allows. The order needs no exact counts. Rows of a frequent shingle are dealt to groups
+    of which each pair of rows meets in one.
+    """
+    held = land(sets.join(crowd, "doc_id").select("doc_id", "component", "words"), "crowd-sets")
+    frequent, counts = frequent_shingles(held)
+
+    def rows(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            frames = []
+            for doc_id, component, words in zip(batch["doc_id"], batch["component"], batch["words"], strict=True):
+                found = set_of(unpack(words).split()).view(np.int64)
+                size = len(found)
+                at = np.minimum(np.searchsorted(frequent, found), max(0, len(frequent) - 1))
+                known = frequent[at] == found if len(frequent) else np.zeros(size, bool)
+                number = np.where(known, counts[at], 0) if len(frequent) else np.zeros(size, np.int64)
+                order = np.lexsort((found, number))[: size - -(-percent * size // 100) + 1]
+                found, number = found[order], number[order]
+                rest = size - np.arange(len(order))
+                chunks = -(-number // GROUP_ROWS)
+                copies = np.maximum(chunks, 1)
+                chunk = np.where(chunks > 1, xxhash.xxh3_64_intdigest(str(doc_id)) % (1 << 40) % copies, 0)
+                each = np.repeat(np.arange(len(order)), copies)
+                with_chunk = np.arange(len(each)) - np.repeat(np.cumsum(copies) - copies, copies)
+                low, high = np.minimum(chunk[each], with_chunk), np.maximum(chunk[each], with_chunk)
+                frames.append(
+                    pd.DataFrame(
+                        {
+                            "shingle": found[each],
+                            "slot": low * copies[each] + high,
+                            "chunk": chunk[each],
+                            "mixed": low != high,
+                            "doc_id": doc_id,
+                            "component": component,
+                            "n": size,
+                            "rest": rest[each],
+                        }
+                    )
+                )
+            if frames:
+                yield pd.concat(frames, ignore_index=True)
+
+    def pairs(batches):
+        frames = [batch for batch in batches if len(batch)]
+        if not frames:
+            return
+        table = pd.concat(frames, ignore_index=True)
+        table = table[table.duplicated(["shingle", "slot"], keep=False)]
+        if not len(table):
+            return
+        group = table.groupby(["shingle", "slot"], sort=False).ngroup().to_numpy()
+        n = table["n"].to_numpy()
+        order = np.lexsort((n, group))
+        table, group, n = table.iloc[order], group[order], n[order]
+        largest = (100 + percent) * table["rest"].to_numpy() // percent - n
+        step = int(n.max()) + 1
+        reach = np.clip(np.minimum(largest, 100 * n // percent), 0, step - 1)
+        ends = np.searchsorted(group * step + n, group * step + reach, "right")
+        numbers = np.maximum(ends - np.arange(len(n)) - 1, 0)
+        ids, component = table["doc_id"].to_numpy(), table["component"].to_numpy()
+        chunk, mixed = table["chunk"].to_numpy(), table["mixed"].to_numpy()
+        total = np.cumsum(numbers)
+        start = 0
+        while start < len(n):  # some million pairs at a time
+            before = total[start] - numbers[start]
+            stop = max(start + 1, int(np.searchsorted(total, before + 2_000_000, "right")))
+            left = np.repeat(np.arange(start, stop), numbers[start:stop])
+            nth = np.arange(len(left)) - np.repeat(total[start:stop] - numbers[start:stop] - before, numbers[start:stop])
+            right = left + 1 + nth
+            fits = (largest[right] >= n[left]) & (component[left] != component[right])
+            fits &= ~mixed[left] | (chunk[left] != chunk[right])
+            a, b = ids[left[fits]], ids[right[fits]]
+            found = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+            if len(found):
+                yield found
+            start = stop
+
+    schema = "shingle long, slot long, chunk long, mixed boolean, doc_id long, component long, n long, rest long"
+    dealt = held.mapInPandas(rows, schema).repartition("shingle", "slot")
+    return ordered_pairs(dealt.mapInPandas(pairs, "a long, b long"))
 
 
 def link_regions(docs: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
@@ -222,8 +335,14 @@ def link_regions(docs: DataFrame, distinct: DataFrame, percent: int) -> DataFram
         heads = heads.select(F.col("head").alias("doc_id")).distinct()
         used = land(heads if used is None else heads.unionByName(used).distinct(), "heads")
         labels = relabel(labels, links)
-    rest = apart(near.select("a", "b"), labels)
-    return relabel(labels, confirm(rest, sets, percent))
+    placed, regions = open_regions(members, labels)
+    few = land(placed.join(regions.where(f"size <= {CROWD}"), ["tree", "region"]).drop("size", "central"), "few")
+    other = few.select("tree", "region", F.col("doc_id").alias("b"), F.col("component").alias("its"))
+    rest = few.join(other, ["tree", "region"]).where("doc_id < b and component <> its")
+    labels = relabel(labels, confirm(rest.select(F.col("doc_id").alias("a"), "b").distinct(), sets, percent))
+    placed, regions = open_regions(members, labels)
+    crowd = placed.join(regions.where(f"size > {CROWD}"), ["tree", "region"]).select("doc_id", "component").distinct()
+    return relabel(labels, confirm(crowd_pairs(land(crowd, "crowd"), sets, percent), sets, percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
