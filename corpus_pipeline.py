@@ -13,6 +13,9 @@ from tripflow.llm import decontamination, near_dup, packing, pii, quality
 from tripflow.llm.common import land, read
 from tripflow.llm.queries import tokenizer_file
 
+#: Documents are copies from this similarity on, in per cent.
+SIMILAR = 80
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality rules reject."""
@@ -21,9 +24,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate group."""
-    copies = near_dup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("copy_id")).distinct()
-    return docs.join(copies, docs["doc_id"] == copies["copy_id"], "left_anti")
+    """Keep one row, that with the smallest id, of each near-duplicate group; null ids come last."""
+    rows = land(docs.withColumn("near_dup_row", F.monotonically_increasing_id()), "rows")
+    groups = near_dup.near_duplicates(rows.select(F.col("near_dup_row").alias("doc_id"), "text"), percent=SIMILAR)
+    groups = groups.select(F.col("doc_id").alias("near_dup_row"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "near_dup_row")
+    first = rows.select("doc_id", "near_dup_row").join(groups, "near_dup_row").groupBy("component_id").agg(F.min(place).alias("first"))
+    kept = first.select("first.near_dup_row")
+    return rows.join(kept, "near_dup_row", "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

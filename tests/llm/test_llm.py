@@ -303,3 +303,19 @@ def test_crowd_pairs_lose_no_link(spark, monkeypatch, group_rows):
             if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
         }
         assert true and {(r.a, r.b) for r in links} == true
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(400)]
+    near = words[:-40] + [f"n{i}" for i in range(40)]  # 0.82
+    other = " ".join(f"z{i}" for i in range(50))
+    rows = [
+        (4, " ".join(words)), (4, " ".join(words)), (5, " ".join(near)), (None, "no id but text"), (None, "no id but text"),
+        (7, " ".join(words)), (7, other), (9, None), (None, ""),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.keep_first_copies(spark, table, "").collect()
+    expected = [(4, rows[0][1]), (None, "no id but text"), (7, other), (9, None), (None, "")]
+    assert Counter(map(tuple, got)) == Counter(expected)
