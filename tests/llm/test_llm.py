@@ -319,3 +319,24 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     got = corpus_pipeline.keep_first_copies(spark, table, "").collect()
     expected = [(4, rows[0][1]), (None, "no id but text"), (7, other), (9, None), (None, "")]
     assert Counter(map(tuple, got)) == Counter(expected)
+
+
+def test_redact_replaces_overlapping_spans_whole(spark):
+    texts = [
+        "Mail user@10.0.0.1 now", "call +49 30 123456 10.0.0.1 or é", "password=a.b@c.org a.b@c.org", "x 10.0.0.1, 10.0.0.2",
+        "password=+49301234567 end",
+    ]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.end, s.kind) for s in r.found] for r in pii.detect(table).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(table).collect()}
+    overlaps = 0
+    for doc, text in enumerate(texts):
+        expected, at = "", 0
+        for start, end, kind in sorted(found[doc], key=lambda one: (one[0], -one[1])):
+            if start >= at:
+                expected += text[at:start] + f"[{kind.upper()}]"
+            else:
+                overlaps += 1
+            at = max(at, end)
+        assert clean[doc] == expected + text[at:]
+    assert overlaps and clean[0] == "Mail [EMAIL] now" and clean[1] == "call [PHONE] or é" and clean[3] == "x [IP], [IP]"

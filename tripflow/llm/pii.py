@@ -238,26 +238,33 @@ def detect(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with every span replaced by its kind in brackets; ``n_chars`` follows the new text."""
+    """The documents with every span replaced by its kind in brackets; ``n_chars`` follows the new text.
+
+    Overlapping spans are replaced together, as the kind of the one that starts first (of these, the longest).
+    """
     names = docs.columns
     judged = detect(docs, tuple(names))
-    # From the last start to the first, so earlier places hold; a span inside one already replaced is passed over.
-    ordered = F.reverse(F.array_sort(F.transform("found", lambda one: F.struct(one["start"].alias("start"), one["end"].alias("end"), one["kind"].alias("kind")))))
+    ordered = F.array_sort(
+        F.transform("found", lambda one: F.struct(one["start"].alias("start"), (-one["end"]).alias("back"), one["kind"].alias("kind")))
+    )
     merged = F.aggregate(
         ordered,
-        F.struct(F.col("kept.text").alias("text"), F.char_length("kept.text").cast("long").alias("limit")),
+        F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("end")),
         lambda state, one: F.when(
-            one["end"] <= state["limit"],
+            one["start"] >= state["end"],
             F.struct(
                 F.concat(
-                    F.substring(state["text"], F.lit(1), one["start"].cast("int")),
+                    state["text"],
+                    F.substring("kept.text", state["end"].cast("int") + 1, (one["start"] - state["end"]).cast("int")),
                     F.concat(F.lit("["), F.upper(one["kind"]), F.lit("]")),
-                    F.substring(state["text"], one["end"].cast("int") + 1, F.char_length(state["text"])),
                 ).alias("text"),
-                one["start"].alias("limit"),
+                (-one["back"]).alias("end"),
             ),
-        ).otherwise(state),
-    )["text"]
+        ).otherwise(F.struct(state["text"].alias("text"), F.greatest(state["end"], -one["back"]).alias("end"))),
+        lambda state: F.concat(
+            state["text"], F.substring("kept.text", state["end"].cast("int") + 1, F.char_length("kept.text"))
+        ),
+    )
     changed = judged.withColumn("new_text", F.when(F.size("found") > 0, merged).otherwise(F.col("kept.text")))
     replaced = {"text": F.col("new_text")}
     if "n_chars" in names:
