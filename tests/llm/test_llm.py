@@ -340,3 +340,12 @@ def test_redact_replaces_overlapping_spans_whole(spark):
             at = max(at, end)
         assert clean[doc] == expected + text[at:]
     assert overlaps and clean[0] == "Mail [EMAIL] now" and clean[1] == "call [PHONE] or é" and clean[3] == "x [IP], [IP]"
+
+
+def test_quality_counts_different_documents_with_much_boilerplate(spark):
+    shared = "\n".join(f"shared line {i} that stands on each page of this host" for i in range(30))
+    rows = [(i, f"{shared}\nown line {i}", "h") for i in range(60)] + [(100 + i, f"{shared}\nown line 0", "copies") for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality.judge_documents(table).collect()}
+    assert all(not got[i].kept and got[i].n_removed_words == 330 for i in range(60))
+    assert all(got[100 + i].n_removed_words == 0 for i in range(60))

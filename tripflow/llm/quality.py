@@ -1,10 +1,9 @@
 """Quality rules: base counts of each text, and lines that recur over the documents of a host.
 
 Lines are normalised (A-Z lower-cased, white space to one space) and hashed. A line goes if, within one
-host, it stands in more than ``LINE_LIMIT`` documents. Documents count as different when their
-contexts differ, the context of a line being the smallest hash of the document's other lines:
-copies of one document are the business of near-duplicate removal and do not turn its lines into
-boilerplate. A document is depleted, and rejected, if the lines that go hold more than
+host, it stands in more than ``LINE_LIMIT`` documents. Documents count as different when any of
+their normalised lines differ: copies of one document are the business of near-duplicate removal
+and do not turn its lines into boilerplate. A document is depleted, and rejected, if the lines that go hold more than
 ``DEPLETED`` per cent of its words.
 
 Defined cases: a null or blank text has no words and fails; repeated rows are judged each on its own;
@@ -30,7 +29,7 @@ SYMBOLS = "#*$%&|<>"
 SPACES = "".join(map(chr, (0x20, *range(0x09, 0x0E))))
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SCHEMA = "doc_id long, host string, " + ", ".join(f"{name} long" for name in COUNTS) + (
-    ", lines array<struct<line: string, context: string, words: long>>"
+    ", whole string, lines array<struct<line: string, words: long>>"
 )
 
 
@@ -50,13 +49,14 @@ def repeat_words(words: list[bytes], size: int = 5) -> int:
 
 
 def judge_text(text: str) -> tuple:
-    """The base counts and the distinct normalised lines of one text."""
+    """The base counts, the hash of all normalised lines, and the distinct ones, of one text."""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     lines = raw.split(b"\n")
     seen: dict[bytes, int] = {}
     filled = 0
     distinct = set()
+    whole = hashlib.md5()
     for line in lines:
         parts = line.lower().split()
         if parts:
@@ -64,15 +64,15 @@ def judge_text(text: str) -> tuple:
             distinct.add(line)
             key = b" ".join(parts)
             seen[key] = seen.get(key, 0) + len(parts)
-    hashes = {hashlib.md5(key).hexdigest()[:16]: count for key, count in seen.items()}
-    low = sorted(hashes)[:2] + ["", ""]
-    found = [(one, low[1] if one == low[0] else low[0], count) for one, count in hashes.items()]
+            whole.update(key + b"\n")
+    found = [(hashlib.md5(key).hexdigest()[:16], count) for key, count in seen.items()]
     return (
         len(words),
         len(text) - sum(map(text.count, SPACES)),
         sum(map(text.count, SYMBOLS)),
         filled - len(distinct),
         repeat_words(words),
+        whole.hexdigest(),
         found,
     )
 
@@ -80,7 +80,7 @@ def judge_text(text: str) -> tuple:
 def line_features(docs: DataFrame, host: str) -> DataFrame:
     def rows(batches):
         for batch in batches:
-            frame = pd.DataFrame([judge_text(text) for text in batch["text"]], columns=[*COUNTS, "lines"])
+            frame = pd.DataFrame([judge_text(text) for text in batch["text"]], columns=[*COUNTS, "whole", "lines"])
             frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             frame.insert(1, "host", batch["host"].to_numpy())
             yield frame
@@ -96,9 +96,9 @@ def line_features(docs: DataFrame, host: str) -> DataFrame:
 def judge_documents(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, depleted: int = DEPLETED) -> DataFrame:
     """Per row: doc_id, the base counts, n_removed_words, base_failed, kept."""
     judged = land(line_features(docs, host).withColumn("row", F.monotonically_increasing_id()), "lines")
-    lines = judged.select("row", "host", F.explode("lines").alias("one")).select("row", "host", "one.*")
+    lines = judged.select("row", "host", "whole", F.explode("lines").alias("one")).select("row", "host", "whole", "one.*")
     frequent = (
-        lines.select("host", "line", "context")
+        lines.select("host", "line", "whole")
         .distinct()
         .groupBy("host", "line")
         .agg(F.count("*").alias("documents"))
@@ -112,7 +112,7 @@ def judge_documents(docs: DataFrame, host: str = "source", limit: int = LINE_LIM
     )
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
     return (
-        judged.drop("lines", "host")
+        judged.drop("lines", "whole", "host")
         .join(lost, "row", "left")
         .withColumn("n_removed_words", F.coalesce("lost", F.lit(0)))
         .withColumn("base_failed", base_failed)
