@@ -18,9 +18,8 @@ SIMILAR = 80
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality rules reject."""
-    bad = quality.judge_documents(docs).where("not kept").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    """Drop the rows that the quality rules reject; the others lose the lines frequent on their host."""
+    return quality.clean_documents(docs).where("quality.kept").drop("quality")
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -349,3 +349,19 @@ def test_quality_counts_different_documents_with_much_boilerplate(spark):
     got = {r.doc_id: r for r in quality.judge_documents(table).collect()}
     assert all(not got[i].kept and got[i].n_removed_words == 330 for i in range(60))
     assert all(got[100 + i].n_removed_words == 0 for i in range(60))
+
+
+def test_frequent_lines_leave_the_texts(spark):
+    import corpus_pipeline
+
+    banner = "Subscribe to\t our  NEWSLETTER today"
+    rows = [(i, f"{banner}\n\nown{i} {LONG}\n subscribe to our newsletter TODAY", "h", 1) for i in range(30)]
+    rows += [(5, "too short", "h", 9), (50, f"{banner}\n{LONG}", None, 7), (None, f"{banner}\nx {LONG}", "h", 1), (61, None, "h", 0)]
+    rows += [rows[3]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    expected = [(i, f"\nown{i} {LONG}", "h", len(f"\nown{i} {LONG}")) for i in range(30)]
+    expected += [expected[3], rows[31], (None, f"x {LONG}", "h", len(f"x {LONG}"))]
+    got = corpus_pipeline.keep_good(spark, table, "")
+    assert got.columns == table.columns and Counter(map(tuple, got.collect())) == Counter(expected)
+    judged = quality.judge_documents(table)
+    assert judged.count() == len(rows) and Counter(r.text for r in judged.collect())["too short"] == 1

@@ -3,7 +3,7 @@
 Lines are normalised (A-Z lower-cased, white space to one space) and hashed. A line goes if, within one
 host, it stands in more than ``LINE_LIMIT`` documents. Documents count as different when any of
 their normalised lines differ: copies of one document are the business of near-duplicate removal
-and do not turn its lines into boilerplate. A document is depleted, and rejected, if the lines that go hold more than
+and do not turn its lines into boilerplate. The lines that go are taken out of each text. A document is depleted, and rejected, if the lines that go hold more than
 ``DEPLETED`` per cent of its words.
 
 Defined cases: a null or blank text has no words and fails; repeated rows are judged each on its own;
@@ -13,10 +13,11 @@ a null host is a host of its own; other columns are ignored; an empty table give
 from __future__ import annotations
 
 import hashlib
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripflow.llm.common import land, shingle_hashes, word_hashes
@@ -28,8 +29,8 @@ REPEATED = 20
 SYMBOLS = "#*$%&|<>"
 SPACES = "".join(map(chr, (0x20, *range(0x09, 0x0E))))
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-SCHEMA = "doc_id long, host string, " + ", ".join(f"{name} long" for name in COUNTS) + (
-    ", whole string, lines array<struct<line: string, words: long>>"
+SCHEMA = "doc_id long, host string, text_key binary, " + ", ".join(f"{name} long" for name in COUNTS) + (
+    ", whole binary, lines array<struct<line: string, words: long>>"
 )
 
 
@@ -72,7 +73,7 @@ def judge_text(text: str) -> tuple:
         sum(map(text.count, SYMBOLS)),
         filled - len(distinct),
         repeat_words(words),
-        whole.hexdigest(),
+        whole.digest(),
         found,
     )
 
@@ -83,18 +84,37 @@ def line_features(docs: DataFrame, host: str) -> DataFrame:
             frame = pd.DataFrame([judge_text(text) for text in batch["text"]], columns=[*COUNTS, "whole", "lines"])
             frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             frame.insert(1, "host", batch["host"].to_numpy())
+            frame.insert(2, "text_key", batch["text_key"].to_numpy())
             yield frame
 
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col(host).cast("string").alias("host"),
         F.coalesce("text", F.lit("")).alias("text"),
+        text_key().alias("text_key"),
     )
     return source.mapInPandas(rows, SCHEMA)
 
 
-def judge_documents(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, depleted: int = DEPLETED) -> DataFrame:
-    """Per row: doc_id, the base counts, n_removed_words, base_failed, kept."""
+def text_key() -> Column:
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+
+
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines whose normalised form has its hash in ``gone``."""
+
+    def stays(line: Column) -> Column:
+        spaced = F.trim(F.regexp_replace(line, r"[\x20\t-\r]+", " "))
+        return ~F.array_contains(gone, F.substring(F.md5(F.translate(spaced, ascii_uppercase, ascii_lowercase)), 1, 16))
+
+    return F.array_join(F.filter(F.split(text, "\n"), stays), "\n")
+
+
+def clean_documents(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, depleted: int = DEPLETED) -> DataFrame:
+    """The columns of each row, with the lines that go taken out of ``text``, and a struct ``quality`` of what was judged.
+
+    ``n_chars`` follows a changed text. Whatever is judged depends on id, host and text alone, so equal rows share it.
+    """
     judged = land(line_features(docs, host).withColumn("row", F.monotonically_increasing_id()), "lines")
     lines = judged.select("row", "host", "whole", F.explode("lines").alias("one")).select("row", "host", "whole", "one.*")
     frequent = (
@@ -108,14 +128,37 @@ def judge_documents(docs: DataFrame, host: str = "source", limit: int = LINE_LIM
     lost = (
         lines.join(frequent, F.col("host").eqNullSafe(F.col("of")) & (F.col("line") == F.col("found")))
         .groupBy("row")
-        .agg(F.sum("words").alias("lost"))
+        .agg(F.sum("words").alias("lost"), F.collect_set("line").alias("gone"))
     )
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
-    return (
-        judged.drop("lines", "whole", "host")
+    verdicts = (
+        judged.drop("lines", "whole")
         .join(lost, "row", "left")
         .withColumn("n_removed_words", F.coalesce("lost", F.lit(0)))
         .withColumn("base_failed", base_failed)
         .withColumn("kept", ~base_failed & (100 * F.col("n_removed_words") <= depleted * F.col("n_words")))
-        .select("doc_id", *COUNTS, "n_removed_words", "base_failed", "kept")
+        .select(
+            F.col("doc_id").alias("of_id"),
+            F.col("host").alias("of_host"),
+            F.col("text_key").alias("of_key"),
+            "gone",
+            F.struct("doc_id", *COUNTS, "n_removed_words", "base_failed", "kept").alias("quality"),
+        )
+        .dropDuplicates(["of_id", "of_host", "of_key"])
+    )
+    same = (
+        docs["doc_id"].cast("long").eqNullSafe(F.col("of_id"))
+        & docs[host].cast("string").eqNullSafe(F.col("of_host"))
+        & (text_key() == F.col("of_key"))
     )
+    changed = F.col("gone").isNotNull()
+    joined = docs.join(verdicts, same).withColumn("text", F.when(changed, without_lines(F.col("text"), F.col("gone"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        joined = joined.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars")))
+    return joined.select(*docs.columns, "quality")
+
+
+def judge_documents(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, depleted: int = DEPLETED) -> DataFrame:
+    """Per row: doc_id, the base counts, n_removed_words, base_failed, kept, the text without the lines that go."""
+    return clean_documents(docs, host, limit, depleted).select("quality.*", "text")
