@@ -365,3 +365,21 @@ def test_frequent_lines_leave_the_texts(spark):
     assert got.columns == table.columns and Counter(map(tuple, got.collect())) == Counter(expected)
     judged = quality.judge_documents(table)
     assert judged.count() == len(rows) and Counter(r.text for r in judged.collect())["too short"] == 1
+
+
+def test_html_keeps_what_follows_unclosed_and_empty_elements():
+    first, second = "The first paragraph tells a long story of some thirty words or so", "The second one goes on with the same story"
+    whole = f"{first}\n\n{second}"
+    article = f"<article><p>{first}</p>%s<p>{second}</p></article>"
+    pages = [
+        "<head><title>x</title><meta charset=utf-8><body>" + article % "", "<html><head><title>x</title>" + article % "",
+        "<head><noscript><img src=x></noscript><style>p{}</style></head><body>" + article % "", article % "<svg/>",
+        article % "<svg><title>t</title><path/></svg>", article % "<div><svg><path></div>", article % "<div><template><p>no</div>",
+        article % "<noscript><p>no</p></noscript>", article % "<div><iframe src=x></div>",
+    ]
+    for page in pages:
+        assert html_text.main_text(page) == whole, page
+    assert html_text.main_text(article % "<figure><figcaption>What it shows</figcaption></figure>") == f"{first}\n\nWhat it shows\n\n{second}"
+    assert html_text.main_text(f"<div class='page has-sidebar'>{article % ''}</div>") == whole
+    assert html_text.main_text(article % "<div class=post-header>Its own header</div>") == f"{first}\n\nIts own header\n\n{second}"
+    assert html_text.main_text(f"<article><p>a <svg><path/></svg> b {first}</p></article>") == f"a b {first}"

@@ -22,12 +22,16 @@ from pyspark.sql import functions as F
 
 #: A comment, a declaration, or a tag with its name and attributes.
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-RAW = ("script", "style", "noscript", "template", "svg", "textarea", "iframe", "head", "title")
+#: Text up to the end tag, or to the end of the page.
+RAW = ("script", "style", "textarea", "title")
+#: Elements without shown text; they end like others. A head also ends at the first thing that cannot stand in it.
+HIDDEN = {"head", "noscript", "template", "svg", "iframe"}
+IN_HEAD = {"head", "html", "base", "link", "meta", "noscript", "template", *RAW}
 RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
-BOILERPLATE = {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "figcaption"}
+BOILERPLATE = {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog"}
 MAIN = {"article", "main"}
 BLOCK = BOILERPLATE | MAIN | {
-    "address", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figure", "h1", "h2", "h3", "h4",
+    "address", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4",
     "h5", "h6", "hr", "html", "li", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr",
     "ul",
 }
@@ -38,6 +42,8 @@ HINT = re.compile(
     r"menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo|related|replies|share|sharing|sidebar|social|sponsor(?:ed)?|"
     r"subscribe|toolbar|widget|complementary|contentinfo)(?=$|[\s_-])"
 )
+#: Class names that speak of a part elsewhere, or of an article's own header.
+NO_HINT = re.compile(r"(?i)(?:has|with|without|no)[_-]|(?:post|entry|article|story)[_-]header$")
 SPACE = re.compile(r"\s+")
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "boilerplate", "article")
 # The labelled table, fixed values: the features above and 1 for main text.
@@ -102,12 +108,17 @@ def is_main(features: tuple) -> bool:
     return bool(node)
 
 
+def is_hint(value: str) -> bool:
+    return any(HINT.search(name) and not NO_HINT.match(name) for name in value.split())
+
+
 def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
     """Text, words, linked words, boilerplate and article flags of each block, in page order."""
     found: list[tuple[str, int, int, bool, bool]] = []
     open_tags: list[tuple[str, bool, bool]] = []
+    begun = False
     parts: list[tuple[str, bool]] = []
-    boiler = main = links = at = 0
+    boiler = main = hidden = links = at = 0
 
     def close() -> None:
         text = SPACE.sub(" ", "".join(part for part, _ in parts)).strip()
@@ -117,8 +128,9 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
         parts.clear()
 
     def pop() -> str:
-        nonlocal boiler, main
+        nonlocal boiler, main, hidden
         name, was_boiler, was_main = open_tags.pop()
+        hidden -= name in HIDDEN
         boiler -= was_boiler
         main -= was_main
         return name
@@ -126,7 +138,10 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
     while at < len(page):
         mark = MARKUP.search(page, at)
         stop = mark.start() if mark else len(page)
-        if stop > at:
+        if open_tags and open_tags[-1][0] == "head" and page[at:stop].strip():
+            pop()
+        if stop > at and not hidden:
+            begun = begun or bool(page[at:stop].strip())
             parts.append((html.unescape(page[at:stop]), links > 0))
         if not mark:
             break
@@ -138,6 +153,28 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
             end = RAW_END[name].search(page, at)
             at = end.end() if end else len(page)
             continue
+        if not closing and any(tag == "head" for tag, _, _ in open_tags[:2]):
+            if name == "body" or (open_tags[-1][0] == "head" and name not in IN_HEAD):
+                while pop() != "head":
+                    pass
+        begun = begun or (not hidden and name not in ("html", "head"))
+        if name in HIDDEN and not closing:
+            if not (name == "svg" and mark[3].endswith("/")) and not (name == "head" and (begun or hidden)):
+                open_tags.append((name, False, False))
+                hidden += 1
+            continue
+        if hidden or name in HIDDEN:
+            # Tags within a hidden element, and its end, leave the block around it as it is.
+            if not closing:
+                if name in BLOCK and name not in VOID:
+                    open_tags.append((name, False, False))
+                continue
+            last = max((nth for nth, one in enumerate(open_tags) if one[0] == name), default=-1)
+            first = next((nth for nth, one in enumerate(open_tags) if one[0] in HIDDEN), len(open_tags))
+            if last < 0 or last >= first:
+                while last >= 0 and pop() != name:
+                    pass
+                continue
         if name == "a":
             links = 0 if closing else 1
         elif name == "br":
@@ -147,7 +184,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
             links = 0
         hinted = False
         if not closing and name not in ("html", "body", *MAIN):
-            hinted = any(HINT.search(" ".join(filter(None, value))) for value in ATTRIBUTE.findall(mark[3]))
+            hinted = any(is_hint(" ".join(filter(None, value))) for value in ATTRIBUTE.findall(mark[3]))
         if name not in BLOCK and not hinted and not (closing and any(tag == name for tag, _, _ in open_tags)):
             continue
         if closing:
