@@ -1,13 +1,12 @@
-"""Removal of byte strings that repeat, over the suffix order of content anchors.
+"""Removal of byte strings that repeat, by windows at content anchors.
 
-A full suffix array has a row per byte. Here only suffixes that can matter are ordered. Every window of
+No suffix array or longest-previous-factor array is built: a full one has a row per byte. Every window of
 ``LENGTH`` bytes has an anchor: the place in it whose ``GRAM``-byte hash is smallest. Equal windows have the same
 anchor at the same place, so a repeated window has an anchor whose gram occurs twice (one row in about
 ``(LENGTH - GRAM) / 2`` bytes). Windows with one anchor form a cell. A cell whose whole span
-occurs elsewhere repeats as a whole; of the other cells with a common gram the single windows are ordered
-by their content and, among equals, by position. In that order the next smaller position before a window is its
-previous factor and the one after it a later copy: the longest previous factor reaches ``LENGTH``
-if a row with the same content stands before it. A gram with very many contents is split: there
+occurs elsewhere repeats as a whole; of the other cells with a common gram the single windows are sorted
+by gram hash, 64-bit hash of their bytes and position, and neighbours with equal hashes are repeats;
+the bytes themselves are not compared. A gram with very many contents is split: there
 a count and a first position per window content, both partial aggregates, say the same.
 
 Defined cases: a null text is empty; a text shorter than ``LENGTH`` loses nothing; repeated rows are copies of each
