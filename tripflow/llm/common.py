@@ -13,6 +13,8 @@ from tripflow.session import shared_folder
 
 #: Characters that a Python ``\s`` matches and the tokenizers' ``\s`` does not.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: A chunk of Latin-1 letters and ASCII marks: both tokenizers cut it into just these two parts.
+PLAIN = re.compile("( ?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@[-`{-~]*)")
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
 
@@ -70,6 +72,16 @@ def shingle_hashes(hashes: np.ndarray, size: int = SHINGLE_WORDS) -> np.ndarray:
     return mix(out)
 
 
+def byte_characters() -> dict[int, str]:
+    """Byte-level tokenizers write printable Latin-1 bytes as themselves, the others from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [byte for byte in range(256) if byte not in shown]
+    return {byte: chr(0x100 + place) for place, byte in enumerate(hidden)}
+
+
+BYTE_CHARACTERS = byte_characters()
+
+
 class TokenIds:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
@@ -91,15 +103,37 @@ class TokenIds:
         self.parts: dict[str, bytes] = {}
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.keeps_space = self._whole(" a") != self._whole("a")
+        self.lower = self._whole("A") == self._whole("a")
+        probe = "".join(filter(PLAIN.fullmatch, map(chr, range(256)))) + "?!"
+        self.plain = True
+        self.plain = self._plain_parts(probe) == [part for part, _ in self.cut(self._normal(probe))]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _normal(self, chunk: str) -> str:
+        return chunk if self.normalizer is None else self.normalizer.normalize_str(chunk)
+
+    def _plain_parts(self, chunk: str) -> list[str] | None:
+        """What the cut gives for a plain chunk, without its pattern search; None for any other chunk."""
+        match = PLAIN.fullmatch(chunk) if self.plain else None
+        if match is None:
+            return None
+        word, marks = match.groups()
+        if self.lower:
+            word = word.lower()
+        if word.isascii():
+            word = word.replace(" ", BYTE_CHARACTERS[0x20])
+        else:
+            word = word.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        return [word, marks] if marks else [word]
+
     def _chunk(self, chunk: str) -> bytes:
-        if self.normalizer is not None:
-            chunk = self.normalizer.normalize_str(chunk)
+        parts = self._plain_parts(chunk)
+        if parts is None:
+            parts = [part for part, _ in self.cut(self._normal(chunk))]
         out = []
-        for part, _ in self.cut(chunk):
+        for part in parts:
             ids = self.parts.get(part)
             if ids is None:
                 ids = b"".join([token.id.to_bytes(4, "little") for token in self.model.tokenize(part)])
