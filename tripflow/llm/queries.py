@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripflow.llm import chat, decontamination, html_text, licenses, near_dup, packing, pii, quality, repeats, token_files
+from tripflow.llm import (
+    balanced_packing,
+    chat,
+    check_sql,
+    decontamination,
+    html_text,
+    lexical_search,
+    licenses,
+    near_dup,
+    packing,
+    pii,
+    prefix_trie,
+    quality,
+    repeats,
+    token_files,
+)
 from tripflow.llm.common import read
 from tripflow.session import shared_folder
 
@@ -69,6 +84,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(read(spark, sf_dir, "documents")).drop("found", "kept")
 
 
+def op11_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(read(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,6 +113,9 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_decontamination": op9_decontamination,
     "op10_pii": op10_pii,
+    "op11_balanced_packing": op11_balanced_packing,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {"op12_lexical_search": check_sql.LEXICAL_SEARCH, "op13_prefix_trie": check_sql.PREFIX_TRIE}
