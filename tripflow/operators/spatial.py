@@ -297,23 +297,26 @@ def zone_sizes(zones: DataFrame, geometry: str = "geometry") -> DataFrame:
 
 # ---- dissolving and output --------------------------------------------------
 
+def undirected(edges: DataFrame) -> DataFrame:
+    """Edges that run from the smaller to the larger end point."""
+    forward = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") <= F.col("y2")))
+    ends = {
+        name: F.when(forward, F.col(name)).otherwise(F.col(other))
+        for name, other in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))
+    }
+    others = [c for c in edges.columns if c not in ends]
+    return edges.select(*others, *[c.alias(name) for name, c in ends.items()])
+
+
 def dissolve(edges: DataFrame, by: str) -> DataFrame:
     """Outer edges of the zones of each group.
 
     An edge shared by two zones of a group cancels out, whichever way the two run
     along it. Exact where neighbours use the same corner points.
     """
-    forward = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") <= F.col("y2")))
-    ends = {
-        "x1": F.when(forward, F.col("x1")).otherwise(F.col("x2")),
-        "y1": F.when(forward, F.col("y1")).otherwise(F.col("y2")),
-        "x2": F.when(forward, F.col("x2")).otherwise(F.col("x1")),
-        "y2": F.when(forward, F.col("y2")).otherwise(F.col("y1")),
-    }
     return (
-        edges.select(by, *[c.alias(f"_{name}") for name, c in ends.items()])
-        .withColumnsRenamed({f"_{name}": name for name in ends})
-        .groupBy(by, *ends)
+        undirected(edges.select(by, "x1", "y1", "x2", "y2"))
+        .groupBy(by, "x1", "y1", "x2", "y2")
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") % 2 == 1)
         .drop("_n")

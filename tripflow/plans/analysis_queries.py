@@ -324,41 +324,6 @@ def overview_top_zones(spark, sf):
     return rounded(lookups.overview_top_zones(demand(spark, sf), "fhvhv"), avg_daily_pickups=6)
 
 
-@register(
-    "top_forecast_zones",
-    query(f"SELECT hour, zone_id, zone_name, borough, {r('predicted_pickups', 6)} AS predicted_pickups FROM forecast WHERE hour = 1 ORDER BY forecast.predicted_pickups DESC, zone_id LIMIT 5"),
-)
-def top_forecast_zones(spark, sf):
-    return rounded(lookups.top_forecast_zones(inputs.forecast(spark, sf), hours_from_now=2), predicted_pickups=6)
-
-
-@register(
-    "zone_forecast",
-    query(f"SELECT hour, zone_id, zone_name, borough, {r('predicted_pickups', 6)} AS predicted_pickups, CAST(hour + 1 AS INT) AS next_hour FROM forecast WHERE lower(zone_name) LIKE '%airport%' AND hour < 12"),
-)
-def zone_forecast(spark, sf):
-    return rounded(lookups.zone_forecast(inputs.forecast(spark, sf), "airport", 12), predicted_pickups=6)
-
-
-@register(
-    "forecast_intensity",
-    query(
-        f"SELECT hour, zone_id, {r('predicted_pickups', 6)} AS predicted_pickups, {r('greatest(least(predicted_pickups / max(predicted_pickups) OVER (PARTITION BY hour), 1), 0)', 6)} AS intensity FROM forecast"
-    ),
-)
-def forecast_intensity(spark, sf):
-    df = panel.forecast_intensity(inputs.forecast(spark, sf)).select("hour", "zone_id", "predicted_pickups", "intensity")
-    return rounded(df, predicted_pickups=6, intensity=6)
-
-
-@register(
-    "forecast_totals",
-    query("SELECT hour, CAST(sum(CAST(floor(predicted_pickups) AS BIGINT)) AS BIGINT) AS total_pickups FROM forecast GROUP BY 1"),
-)
-def forecast_totals(spark, sf):
-    return panel.forecast_totals(inputs.forecast(spark, sf))
-
-
 # ---- tips -------------------------------------------------------------------
 
 PROBS = lookups.PROBABILITIES

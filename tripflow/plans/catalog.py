@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tripflow.plans import (  # noqa: F401
     analysis_queries,
+    forecast_queries,
     panel_queries,
     place_queries,
     quality_queries,

@@ -248,10 +248,6 @@ CTES = {
                w0 / w AS prob_class_0, w1 / w AS prob_class_1, w2 / w AS prob_class_2, w3 / w AS prob_class_3, w4 / w AS prob_class_4
         FROM (SELECT *, w0 + w1 + w2 + w3 + w4 AS w FROM (SELECT *, event_id * 3 % 97 + 1 AS w0, event_id * 7 % 97 + 1 AS w1,
               event_id * 11 % 97 + 1 AS w2, event_id * 13 % 97 + 1 AS w3, event_id * 17 % 97 + 1 AS w4 FROM events))""",
-    "forecast": """
-        SELECT c.*, Zone AS zone_name, Borough AS borough FROM (
-            SELECT CAST(hour(ts) AS INT) AS hour, CAST(user_id % 25 + 1 AS INT) AS zone_id, sum(value) / 50 AS predicted_pickups
-            FROM events GROUP BY 1, 2) c JOIN zones ON LocationID = zone_id""",
     "zone_demand": "",  # filled below
 }
 

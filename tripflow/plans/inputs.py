@@ -406,16 +406,3 @@ def tip_scores(spark: SparkSession, sf: str) -> DataFrame:
         (e * 5 % 5 + e % 3).cast("int").alias("tip_category"),
         *probs,
     )
-
-
-def forecast(spark: SparkSession, sf: str) -> DataFrame:
-    """Pickups per hour of day and zone as a stand-in for model output."""
-    counts = (
-        table(spark, sf, "events")
-        .groupBy(F.hour("ts").alias("hour"), (F.col("user_id") % 25 + 1).cast("int").alias("zone_id"))
-        .agg((F.sum("value") / 50).alias("predicted_pickups"))
-    )
-    names = zones(spark, sf).select(
-        F.col("LocationID").alias("zone_id"), F.col("Zone").alias("zone_name"), F.col("Borough").alias("borough")
-    )
-    return counts.join(names, "zone_id")

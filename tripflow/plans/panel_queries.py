@@ -19,11 +19,11 @@ FEATURES = ["pickups", "precipitation", "wind_speed_10m", "hour_sin", "hour_cos"
 # ---- panel ------------------------------------------------------------------
 
 
-def panel_cte(name, start, end):
+def panel_cte(name, start, end, source="yellow_loaded"):
     return {
         f"{name}_grid": f"SELECT LocationID AS zone_id, unnest(generate_series(TIMESTAMP '{start}', TIMESTAMP '{end}' - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS hour FROM zones",
-        f"{name}_counts": "SELECT CAST(PULocationID AS INT) AS zone_id, date_trunc('hour', pickup_datetime) AS hour, count(*) AS pickups FROM yellow_loaded "
-        f"WHERE pickup_datetime >= TIMESTAMP '{start}' AND pickup_datetime < TIMESTAMP '{end}' GROUP BY 1, 2",
+        f"{name}_counts": "SELECT CAST(PULocationID AS INT) AS zone_id, date_trunc('hour', pickup_datetime) AS hour, count(*) AS pickups "
+        f"FROM {source} WHERE pickup_datetime >= TIMESTAMP '{start}' AND pickup_datetime < TIMESTAMP '{end}' GROUP BY 1, 2",
         name: f"SELECT zone_id, hour, coalesce(pickups, 0) AS pickups, row_number() OVER (PARTITION BY zone_id ORDER BY hour) AS i FROM {name}_grid LEFT JOIN {name}_counts USING (zone_id, hour)",
     }
 
@@ -32,8 +32,8 @@ FULL = panel_cte("full_panel", START, END)
 SPLIT = {**panel_cte("train_panel", START, CUT), **panel_cte("test_panel", CUT, END)}
 
 
-def make_panel(spark, sf, start=START, end=END):
-    return panel.demand_panel(inputs.yellow_loaded(spark, sf), inputs.zones(spark, sf), start, end)
+def make_panel(spark, sf, start=START, end=END, trips=inputs.yellow_loaded):
+    return panel.demand_panel(trips(spark, sf), inputs.zones(spark, sf), start, end)
 
 
 def train_and_test(spark, sf):
@@ -256,21 +256,6 @@ def tip_two_stage(spark, sf):
     return models.two_stage_accuracy(models.score_two_stage(binary, classes, test))
 
 
-@register("demand_forecast_ml")
-def demand_forecast_ml(spark, sf):
-    zones = inputs.zones(spark, sf)
-
-    def rows(start, end, name):
-        full = panel.feature_panel(make_panel(spark, sf, start, end), inputs.weather(spark, sf), FEATURES)
-        return inputs.landed(
-            spark, sf, name, lambda p: models.demand_features(full, zones, FEATURES).write.parquet(p)
-        )
-
-    train, test = rows(START, CUT, "demand_train"), rows(CUT, END, "demand_test")
-    model = fitted(spark, sf, "demand", lambda: models.fit_demand(train, FEATURES))
-    return stats.regression_metrics(models.predict_demand(model, test))
-
-
 @register("event_clusters")
 def event_clusters(spark, sf):
     clustered = models.event_clusters(inputs.incidents(spark, sf))

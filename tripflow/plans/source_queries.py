@@ -273,23 +273,3 @@ def sink_result_table(spark, sf):
     path = shared_folder(spark, "yearly")
     sinks.result_table(spark, path, lambda: rollups.yearly_trend(inputs.fhvhv_trips(spark, sf), inputs.FHVHV_CITY))
     return sinks.result_table(spark, path, lambda: None)
-
-
-@register(
-    "sink_predictions_json",
-    query(f"SELECT 'yellow' AS service, DATE '2024-01-30' AS day, hour, zone_id, zone_name, {r('predicted_pickups', 6)} AS predicted_pickups FROM forecast"),
-)
-def sink_predictions_json(spark, sf):
-    path = shared_folder(spark, "predictions")
-    forecast = inputs.forecast(spark, sf).drop("borough")
-    sinks.save_predictions(forecast, path, "yellow", "2024-01-30")
-    sinks.save_predictions(forecast, path, "fhvhv", "2024-01-30")
-    stored = sinks.load_predictions(spark, path, "yellow", "2024-01-30")
-    return stored.select(
-        "service",
-        F.col("day").cast("date").alias("day"),
-        F.col("hour").cast("int").alias("hour"),
-        F.col("zone_id").cast("int").alias("zone_id"),
-        "zone_name",
-        round_half_up(F.col("predicted_pickups"), 6).alias("predicted_pickups"),
-    )

@@ -5,6 +5,29 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tripflow.session import shared_folder
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store its path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def land(df: DataFrame, purpose: str, written: list[str] | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back, which cuts its lineage.
+
+    With ``written``, the paths of earlier steps, those steps are deleted once this one is complete.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, purpose)
+    df.write.parquet(path)
+    if written is not None:
+        while written:
+            delete_folder(spark, written.pop())
+        written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
 
 def save_trips(
     df: DataFrame,
