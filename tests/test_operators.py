@@ -44,6 +44,26 @@ def test_nearest_percentile(spark):
     assert (row["q"], row["r"]) == (1.0, 9.0)
 
 
+@pytest.mark.parametrize("most", [10, 10_000])
+def test_percentiles_of_values_close_together(spark, most):
+    """A narrow band is narrowed until a range holds few distinct values."""
+    df = spark.range(30_000).select((F.col("id") % 3).alias("g"), (1000 + F.pow(F.col("id") / 30_000, F.lit(9.0)) * 5).alias("v"))
+    cuts = {"low": 0.0, "q1": 0.25, "mid": 0.5, "top": 1.0}
+    got = {r.g: r for r in quantiles.exact_percentiles(df, ["g"], "v", cuts, most=most).collect()}
+    for g in range(3):
+        values = sorted(1000 + (i / 30_000) ** 9 * 5 for i in range(g, 30_000, 3))
+        for name, p in cuts.items():
+            assert got[g][name] == pytest.approx(values[max(int(np.ceil(p * 10_000)), 1) - 1], rel=1e-14)
+
+
+def test_percentiles_with_nan_and_infinity(spark):
+    values = [float("nan"), 1.0, -3.5, float("inf"), float("-inf"), None, -0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    row = quantiles.exact_percentiles(df, [], "v", {"a": 0.0, "b": 0.3, "m": 0.5, "z": 0.8, "n": 1.0}).first()
+    assert tuple(row)[:4] == (float("-inf"), -3.5, 0.0, float("inf")) and row.n != row.n
+    assert quantiles.exact_percentiles(df.limit(0), ["v"], "v", {"m": 0.5}).collect() == []
+
+
 def test_mode_prefers_the_smallest(spark):
     df = spark.createDataFrame([(3.0,), (1.0,), (3.0,), (1.0,), (2.0,), (None,)], "v double")
     assert quantiles.exact_mode(df, "v").first()[0] == 1.0

@@ -5,15 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripflow.functions.numeric import all_of
+from tripflow.sources.sinks import land
 
 
 def _same(left: str, right: str, columns) -> Column:
     return all_of([F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
 
 
+#: Numbers of the ranges of infinite values and of NaN, which ranks above all others.
+INFINITE, NOT_A_NUMBER = 1 << 60, 1 << 61
+#: Parts that a crowded range is cut into, by value.
+PARTS = 1000
+
+
 def _value_range(value: Column, resolution: int) -> Column:
     """Number of the logarithmic range of a value; grows with the value."""
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * resolution)).cast("bigint")
+    finite = F.floor(F.log1p(F.abs(value)) * resolution).cast("bigint")
+    size = F.when(F.abs(value) == float("inf"), F.lit(INFINITE)).otherwise(finite)
+    return F.when(F.isnan(value), F.lit(NOT_A_NUMBER)).otherwise(F.when(value < 0, -size).otherwise(size))
+
+
+def _hit(ranges: DataFrame, group: list[str], by: str, rank: str, start: Column) -> DataFrame:
+    """Of the counted ranges of a group, that in which the rank lies, with the rows before it."""
+    running = Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    upto = ranges.withColumn("_upto", start + F.sum("_rows").over(running)).withColumn("_before", F.col("_upto") - F.col("_rows"))
+    return upto.where((F.col(rank) > F.col("_before")) & (F.col(rank) <= F.col("_upto")))
 
 
 def exact_percentiles(
@@ -23,33 +39,23 @@ def exact_percentiles(
     percentiles: dict[str, float],
     resolution: int = 100,
     nearest: bool = False,
+    most: int = 10_000,
 ) -> DataFrame:
     """Exact percentiles per group; each result is a value that occurs.
 
-    Rows first collapse to (group, value, count) on the map side. Counts per value
-    range then show in which range a percentile lies, and only the distinct values of
-    that range are ordered. Ranges are even on a logarithmic scale, ``resolution`` per
-    factor e, so any double falls into one of about 1,420 * ``resolution`` ranges: that
-    bounds what a group with a third of all rows, or the one group of the whole table,
-    asks of a single task.
+    One pass collapses the rows to (group, value, count) on the map side and stores that. A percentile's
+    range is then narrowed until it holds at most ``most`` distinct values: first to one of at most
+    1,420 * ``resolution`` logarithmic ranges, then, as long as that is crowded, to one of ``PARTS`` equal parts between
+    its least and greatest value. Only the values of the last range are ordered, so neither a group with a third of all
+    rows nor values that lie close together ask more of a task. NaN counts as the largest value.
 
     The result is the smallest value with at least ``p`` of the rows at or below it,
-    or with ``nearest`` the value at the rank next to ``p * (n - 1)``.
+    or with ``nearest`` the value at the rank next to ``p * (n - 1)``. The stored counts make this run jobs when called.
     """
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_b", _value_range(F.col("_v").cast("double"), resolution))
-    )
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    running = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = (
-        counts.groupBy(*keys, "_b")
-        .agg(F.sum("_n").alias("_bn"))
-        .withColumns({"_upto": F.sum("_bn").over(running), "_all": F.sum("_bn").over(group)})
-        .withColumn("_before", F.col("_upto") - F.col("_bn"))
-    )
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = land(counted.withColumn("_b", _value_range(F.col("_v").cast("double"), resolution)), "value-counts")
+    sizes = [F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_values"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    ranges = counts.groupBy(*keys, "_b").agg(*sizes).withColumn("_all", F.sum("_rows").over(Window.partitionBy(*keys)))
     wanted = F.array(
         *[
             F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
@@ -57,31 +63,29 @@ def exact_percentiles(
         ]
     )
     rank = (
-        F.floor(F.col("_p") * (F.col("_all") - 1) + 0.5) + 1
+        F.floor(F.col("_q.p") * (F.col("_all") - 1) + 0.5) + 1
         if nearest
-        else F.greatest(F.col("_p") * F.col("_all"), F.lit(1.0))
-    )
-    hit_ranges = (
-        ranges.withColumn("_q", F.explode(wanted))
-        .withColumns({"_i": F.col("_q.i"), "_p": F.col("_q.p")})
-        .withColumn("_rank", rank)
-        .where((F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_upto")))
-        .select(*keys, "_b", "_before", "_i", "_rank")
-    )
-    candidates = (
-        counts.alias("c")
-        .join(hit_ranges.alias("h"), _same("c", "h", [*keys, "_b"]))
-        .select(*[F.col(f"c.{k}").alias(k) for k in keys], "c._v", "c._n", "h._before", "h._i", "h._rank")
-    )
-    within = (
-        Window.partitionBy(*keys, "_i")
-        .orderBy("_v")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    found = (
-        candidates.withColumn("_cum", F.col("_before") + F.sum("_n").over(within))
-        .where(F.col("_cum") >= F.col("_rank"))
+        else F.greatest(F.col("_q.p") * F.col("_all"), F.lit(1.0))
     )
+    asked = ranges.withColumn("_q", F.explode(wanted)).withColumns({"_i": F.col("_q.i"), "_rank": rank}).drop("_q", "_all")
+    columns = [*keys, "_i", "_rank", "_b", "_before", "_lo", "_hi", "_values"]
+    hits = land(_hit(asked, [*keys, "_i"], "_b", "_rank", F.lit(0)).select(columns), "ranges")
+
+    def inside(found: DataFrame) -> DataFrame:
+        joined = counts.alias("c").join(found.alias("h"), _same("c", "h", [*keys, "_b"]))
+        kept = joined.where((F.col("c._v") >= F.col("h._lo")) & (F.col("c._v") <= F.col("h._hi")))
+        return kept.select("c.*", *[F.col(f"h.{c}") for c in ("_i", "_rank", "_before", "_lo", "_hi")])
+
+    while not hits.where(F.col("_values") > most).isEmpty():
+        low, high = F.col("_lo").cast("double"), F.col("_hi").cast("double")
+        part = F.floor((F.col("_v").cast("double") - low) / (high - low) * PARTS)
+        parts = inside(hits.where(F.col("_values") > most)).withColumn("_part", part)
+        parts = parts.groupBy(*keys, "_b", "_i", "_rank", F.col("_before").alias("_start"), "_part").agg(*sizes)
+        narrower = _hit(parts, [*keys, "_i"], "_part", "_rank", F.col("_start")).select(columns)
+        hits = land(hits.where(F.col("_values") <= most).unionByName(narrower), "ranges")
+
+    within = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = inside(hits).withColumn("_cum", F.col("_before") + F.sum("_n").over(within)).where(F.col("_cum") >= F.col("_rank"))
     picks = [
         F.min(F.when(F.col("_i") == i, F.col("_v"))).alias(name)
         for i, name in enumerate(percentiles)
