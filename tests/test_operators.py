@@ -477,3 +477,36 @@ def test_drifting_files(spark):
     late = spark.createDataFrame([(2, 3)], "vendorid bigint, extra int")
     rows = trips.union_drifting([early, late], {"VendorID": "bigint", "airport_fee": "double"}).collect()
     assert sorted(map(tuple, rows), key=str) == [(1, 2.0), (2, None)]
+
+
+# ---- dissolved rings ----------------------------------------------------------
+
+def test_dissolved_rings_with_holes_islands_and_touching_corners(spark):
+    def box(x0, y0, x1, y1, clockwise=False):
+        points = [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+        return "(" + ", ".join(f"{x} {y}" for x, y in (points[::-1] if clockwise else points)) + ")"
+
+    frame = [(x, y) for x in range(3) for y in range(3) if (x, y) != (1, 1)]
+    rows = [("frame", f"POLYGON ({box(x, y, x + 1, y + 1, clockwise=(x + y) % 2 == 1)})") for x, y in frame]
+    rows += [("corners", f"POLYGON ({box(0, 0, 1, 1)})"), ("corners", f"POLYGON ({box(1, 1, 2, 2)})")]
+    rows += [("island", f"POLYGON ({box(0, 0, 9, 9)}, {box(2, 2, 7, 7)})"), ("island", f"POLYGON ({box(3, 3, 6, 6)}, {box(4, 4, 5, 5)})")]
+    rows += [(None, f"MULTIPOLYGON (({box(0, 0, 1, 1)}), ({box(1, 0, 2, 1)}))"), ("none", None)]
+    found = spatial.dissolve_rings(spark.createDataFrame(rows, "g string, geometry string"), "g").collect()
+    got = {}
+    for r in found:
+        points = [(p.x, p.y) for p in r.points]
+        assert points[0] == points[-1] == min(points) and len(set(points)) == len(points) - 1
+        assert (r.area > 0) == (r.ring == 0)
+        got.setdefault(r.g, []).append((r.polygon, r.ring, r.area, len(points) - 1))
+    assert {g: sorted(v) for g, v in got.items()} == {
+        "frame": [(0, 0, 9.0, 12), (0, 1, -1.0, 4)],
+        "corners": [(0, 0, 1.0, 4), (1, 0, 1.0, 4)],
+        "island": [(0, 0, 81.0, 4), (0, 1, -25.0, 4), (1, 0, 9.0, 4), (1, 1, -1.0, 4)],
+        None: [(0, 0, 2.0, 6)],
+    }
+
+
+def test_overlapping_zones_are_refused(spark):
+    rows = [("g", "POLYGON ((0 0, 2 0, 2 2, 0 0))"), ("g", "POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))")]
+    with pytest.raises(ValueError, match="overlap"):
+        spatial.dissolve_rings(spark.createDataFrame(rows, "g string, geometry string"), "g")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripflow.operators.joins import join_dimension
-
+from tripflow.sources.sinks import land
 
 
 # ---- parsing ----------------------------------------------------------------
@@ -181,7 +181,7 @@ def _moment(points: Column, axis: str) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda a, v: a + v) / 6
 
 
-def _length(points: Column) -> Column:
+def ring_length(points: Column) -> Column:
     parts = F.transform(_ring_edges(points), lambda e: F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"]))
     return F.aggregate(parts, F.lit(0.0), lambda a, v: a + v)
 
@@ -201,7 +201,7 @@ def geometry_stats(zones: DataFrame, geometry: str = "geometry", project=None) -
             "_area": _signed_area(F.col("points")),
             "_mx": _moment(F.col("points"), "x"),
             "_my": _moment(F.col("points"), "y"),
-            "_len": _length(F.col("points")),
+            "_len": ring_length(F.col("points")),
         }
     ).withColumn("_sign", F.signum("_area") * F.when(F.col("ring") == 0, 1.0).otherwise(-1.0))
     area = F.sum(F.col("_area") * F.col("_sign"))
@@ -323,6 +323,83 @@ def dissolve(edges: DataFrame, by: str) -> DataFrame:
     )
 
 
+def _outer_edges(zones: DataFrame, by: str, geometry: str) -> DataFrame:
+    """Directed outline edges of each group with its inside on the left; shared edges run both ways and cancel out."""
+    rings = zone_rings(zones.select(by, geometry), geometry)
+    against = (_signed_area(F.col("points")) < 0) == (F.col("ring") == 0)
+    turned = rings.withColumn("points", F.when(against, F.reverse("points")).otherwise(F.col("points")))
+    edges = turned.select(by, F.inline(_ring_edges(F.col("points")))).where("x1 <> x2 OR y1 <> y2")
+    forward = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") <= F.col("y2")))
+    keys = [by, "x1", "y1", "x2", "y2"]
+    kept = undirected(edges.withColumn("_way", F.when(forward, 1).otherwise(-1))).groupBy(*keys).agg(F.sum("_way").alias("_way"))
+    ends = {name: F.when(F.col("_way") > 0, F.col(name)).otherwise(F.col(other)) for name, other in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))}
+    return kept.where(F.col("_way") != 0).select(by, *[c.alias(name) for name, c in ends.items()])
+
+
+def _successors(edges: DataFrame, by: str) -> DataFrame:
+    """The edge that follows each: of several at a corner the leftmost turn, so that touching rings stay apart."""
+    names = {by: "_by", "edge": "next", "x1": "_x2", "y1": "_y2", "x2": "_x3", "y2": "_y3"}
+    after = edges.select(*[F.col(c).alias(name) for c, name in names.items()])
+    ux, uy, vx, vy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("_x3") - F.col("x2"), F.col("_y3") - F.col("y2")
+    cross, dot = ux * vy - uy * vx, ux * vx + uy * vy
+    turn = F.when((cross == 0) & (dot < 0), -math.pi).otherwise(F.atan2(cross, dot))
+    meet = F.col(by).eqNullSafe(F.col("_by")) & (F.col("x2") == F.col("_x2")) & (F.col("y2") == F.col("_y2"))
+    met = edges.join(after, meet)
+    return met.groupBy("edge").agg(F.max_by("next", turn).alias("next"))
+
+
+def dissolve_rings(zones: DataFrame, by: str, geometry: str = "geometry") -> DataFrame:
+    """Closed rings around the zones of each group, holes with the shell they lie in.
+
+    Columns: ``by``, polygon and ring (numbers from 0; ring 0 is the shell), points (first = last, shells
+    counterclockwise, holes clockwise, from the lowest corner on) and the signed area. Exact where neighbours use
+    the same corner points and zones do not overlap.
+
+    Rings are put together from loose edges by pointer doubling: after ``k`` rounds every edge knows the lowest of
+    the next ``2 ** k`` edges and how far ahead it is, so rounds grow with the logarithm of the longest ring. Each
+    round is one join on the edge number; only a finished ring is gathered in a row.
+    """
+    written: list[str] = []
+    edges = land(_outer_edges(zones, by, geometry).withColumn("edge", F.monotonically_increasing_id()), "outer-edges")
+    follow = land(_successors(edges, by), "successors")
+    if edges.count() != follow.select("next").distinct().count():
+        raise ValueError(f"outlines of a {by} overlap or are not closed")
+    corner = F.struct("x1", "y1", "x2", "y2")
+    state = edges.join(follow, "edge").select("edge", "next", F.struct(corner.alias("low"), F.lit(0).cast("long").alias("ahead")).alias("head"))
+    state, reach = land(state, "rings", written), 1
+    while True:
+        there = state.select(F.col("edge").alias("next"), F.col("next").alias("_next"), F.col("head").alias("_head"))
+        further = F.struct(F.col("_head.low").alias("low"), (F.col("_head.ahead") + reach).alias("ahead"))
+        state = state.join(there, "next").select(
+            "edge", F.col("_next").alias("next"), F.least("head", further).alias("head"), (F.col("head.low") != F.least("head", further)["low"]).alias("moved")
+        )
+        state, reach = land(state, "rings", written), 2 * reach
+        if state.where("moved").isEmpty():
+            break
+    placed = edges.join(state.select("edge", F.col("head.low").alias("low"), F.col("head.ahead").alias("ahead")), "edge")
+    # The head has 0 edges to itself; the others follow it in descending distance.
+    place = F.when(F.col("ahead") == 0, F.lit(-(1 << 62))).otherwise(-F.col("ahead"))
+    corners = F.array_sort(F.collect_list(F.struct(place.alias("at"), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")).alias("p"))))
+    rings = placed.groupBy(by, "low").agg(F.transform(corners, lambda c: c["p"]).alias("_open"))
+    rings = rings.withColumn("points", F.concat("_open", F.slice("_open", 1, 1))).drop("_open")
+    rings = land(rings.withColumn("area", _signed_area(F.col("points"))), "closed-rings")
+    return _numbered_rings(rings, by)
+
+
+def _numbered_rings(rings: DataFrame, by: str) -> DataFrame:
+    """Holes find the smallest shell around the middle of their first edge, by the point-in-zone join."""
+    text = F.concat_ws(", ", F.transform("points", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))))
+    shells = rings.where("area > 0").select(F.col(by).alias("_by"), F.col("low").alias("shell"), F.col("area").alias("_size"), F.concat(F.lit("POLYGON (("), text, F.lit("))")).alias("geometry"))
+    first, second = F.col("points")[0], F.col("points")[1]
+    holes = rings.where("area < 0").withColumns({"_mx": (first["x"] + second["x"]) / 2, "_my": (first["y"] + second["y"]) / 2})
+    around = within(holes, shells, "_mx", "_my").where(F.col("_by").eqNullSafe(F.col(by)))
+    held = around.groupBy(by, "low").agg(F.min_by("shell", "_size").alias("shell"), F.any_value("points").alias("points"), F.any_value("area").alias("area"))
+    both = rings.where("area > 0").select(by, F.col("low").alias("shell"), "low", "points", "area").unionByName(held.select(by, "shell", "low", "points", "area"))
+    polygon = F.dense_rank().over(Window.partitionBy(by).orderBy("shell")) - 1
+    ring = F.row_number().over(Window.partitionBy(by, "shell").orderBy(F.col("area") < 0, "low")) - 1
+    return both.select(by, polygon.alias("polygon"), ring.alias("ring"), "points", "area")
+
+
 def geojson_features(zones: DataFrame, properties: list[str], geometry: str = "geometry") -> DataFrame:
     """One GeoJSON feature per zone as a text column."""
     coordinates = F.transform(

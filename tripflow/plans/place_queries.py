@@ -294,6 +294,25 @@ def dissolve_edges(spark, sf):
     return spatial.dissolve(spatial.zone_edges(parcels(spark, sf)), "zone")
 
 
+@register(
+    "dissolve_rings",
+    query(
+        "SELECT e.zone, edges, length, area, true AS closed FROM ("
+        "SELECT zone, CAST(count(*) AS BIGINT) AS edges, sum(abs(x2 - x1) + abs(y2 - y1)) AS length FROM (SELECT zone, CASE WHEN fwd THEN x1 ELSE x2 END AS x1, CASE WHEN fwd THEN y1 ELSE y2 END AS y1, CASE WHEN fwd THEN x2 ELSE x1 END AS x2, CASE WHEN fwd THEN y2 ELSE y1 END AS y2 "
+        "FROM (SELECT *, x1 < x2 OR (x1 = x2 AND y1 <= y2) AS fwd FROM parcel_edges) GROUP BY 1, 2, 3, 4, 5 HAVING count(*) % 2 = 1) GROUP BY 1) e "
+        "JOIN (SELECT c_mktsegment AS zone, sum(CASE WHEN c_custkey % 5 = 0 THEN 94.0 WHEN c_custkey % 7 = 0 THEN 31.0 ELSE 100.0 END::DOUBLE) AS area FROM customer GROUP BY 1) a ON a.zone = e.zone",
+        PARCEL_EDGES,
+    ),
+)
+def dissolve_rings(spark, sf):
+    rings = spatial.dissolve_rings(parcels(spark, sf), "zone")
+    ends = F.element_at("points", 1) == F.element_at("points", -1)
+    edges = F.size("points") - 1
+    return rings.groupBy("zone").agg(
+        F.sum(edges).alias("edges"), F.sum(spatial.ring_length(F.col("points"))).alias("length"), F.sum("area").alias("area"), F.bool_and(ends).alias("closed")
+    )
+
+
 @register(
     "zones_to_geojson",
     query(
