@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DataType, DecimalType, FractionalType, MapType, StructType
 
 from tripflow.functions.numeric import any_of
 
@@ -162,3 +163,32 @@ def url_tail(url: Column) -> Column:
 
 def nan_to_null(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
+
+
+def nested_nan_to_null(value: Column, kind: DataType) -> Column:
+    """The same for every float inside structs, arrays and the values of maps; the type stays as it is."""
+    if isinstance(kind, FractionalType) and not isinstance(kind, DecimalType):
+        return nan_to_null(value)
+    if not _has_float(kind):
+        return value
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda item: nested_nan_to_null(item, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, item: nested_nan_to_null(item, kind.valueType))
+    fields = [nested_nan_to_null(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+    return F.when(value.isNotNull(), F.struct(*fields))
+
+
+def _has_float(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _has_float(kind.elementType)
+    if isinstance(kind, MapType):
+        return _has_float(kind.valueType)
+    if isinstance(kind, StructType):
+        return any(_has_float(f.dataType) for f in kind.fields)
+    return isinstance(kind, FractionalType) and not isinstance(kind, DecimalType)
+
+
+def nans_to_nulls(df: DataFrame) -> DataFrame:
+    """All columns without NaN, at any depth."""
+    return df.select(*[nested_nan_to_null(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])

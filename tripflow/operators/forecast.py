@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tripflow.operators import zone_graph
 from tripflow.operators.panel import HORIZONS, INPUT_STEPS
@@ -62,6 +62,17 @@ def fit_graph(train: DataFrame, weights: DataFrame) -> GraphModel:
     return GraphModel(profile, weights, oy / oo if oo else 0.0, 0.0)
 
 
+def save_graph(model: GraphModel, path: str) -> None:
+    model.profile.write.parquet(f"{path}/profile")
+    model.weights.write.parquet(f"{path}/weights")
+    model.profile.sparkSession.createDataFrame([(model.own, model.near)], "own double, near double").write.parquet(f"{path}/coefficients")
+
+
+def load_graph(spark: SparkSession, path: str) -> GraphModel:
+    own, near = spark.read.parquet(f"{path}/coefficients").first()
+    return GraphModel(spark.read.parquet(f"{path}/profile"), spark.read.parquet(f"{path}/weights"), own, near)
+
+
 def graph_step(model: GraphModel) -> Callable[[DataFrame], DataFrame]:
     """One hour ahead from the last value of each history; never negative."""
 

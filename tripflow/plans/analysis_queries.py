@@ -463,6 +463,19 @@ def classifier_metrics(spark, sf):
     return rounded(df, precision=6, recall=6, f1=6, accuracy=6, log_loss=6)
 
 
+@register(
+    "classifier_auc",
+    query(
+        f"SELECT positives, others, {r('(ranks - positives * (positives + 1) / 2.0) / (positives * others::DOUBLE)', 9)} AS auc FROM ("
+        "SELECT count(*) FILTER (hit) AS positives, count(*) FILTER (NOT hit) AS others, sum(rank) FILTER (hit) AS ranks FROM ("
+        "SELECT tip_category > 0 AS hit, rank() OVER (ORDER BY prob_class_0 DESC) + (count(*) OVER (PARTITION BY prob_class_0) - 1) / 2.0 AS rank FROM tip_scores))"
+    ),
+)
+def classifier_auc(spark, sf):
+    scores = inputs.tip_scores(spark, sf).withColumn("tipped", -F.col("prob_class_0"))
+    return rounded(scoring.area_under_curve(scores, F.col("tip_category") > 0, "tipped"), auc=9)
+
+
 TOP2 = {
     "ranked": "SELECT event_id, i, p, row_number() OVER (PARTITION BY event_id ORDER BY p DESC, i) AS rn FROM ("
     + " UNION ALL ".join(f"SELECT event_id, {i} AS i, {p} AS p FROM tip_scores" for i, p in enumerate(PROBS))

@@ -106,10 +106,10 @@ def demand_graph_model(spark, sf):
 
 
 def graph_model(spark, sf):
-    def fit():
-        return forecast.fit_graph(make_panel(spark, sf, START, CUT), weights(spark, sf))
+    def write(path):
+        forecast.save_graph(forecast.fit_graph(make_panel(spark, sf, START, CUT), weights(spark, sf)), path)
 
-    return fitted(spark, sf, "graph", fit)
+    return forecast.load_graph(spark, inputs.landed_path(spark, sf, "graph_model", write))
 
 
 RECURSION = {

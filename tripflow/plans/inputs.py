@@ -16,7 +16,7 @@ from tripflow.functions.text import VENUE_CAPACITY
 from tripflow.operators import enrich, quality
 from tripflow.session import shared_folder
 from tripflow.sources.sinks import save_trips
-from tripflow.sources.trips import unify_services
+from tripflow.sources.trips import load_fhvhv, load_green, load_yellow, unify_services
 
 # Limits that fit the derived inputs: zones 1-23 are valid, 1-3 are airports.
 SMALL_CITY = dict(zones=(1, 23), airports=(1, 2, 3), cbd_zones=(5, 6, 7, 8))
@@ -182,8 +182,10 @@ def raw_path(spark: SparkSession, sf: str, name: str) -> str:
     return landed_path(spark, sf, f"{name}_raw", _raw_writer(spark, sf, name))
 
 
-def _landed_raw(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return landed(spark, sf, f"{name}_raw", _raw_writer(spark, sf, name))
+def _loaded(spark: SparkSession, sf: str, load, name: str) -> DataFrame:
+    """The raw files as the library's loader reads them; written again if the folder has been emptied since."""
+    landed(spark, sf, f"{name}_raw", _raw_writer(spark, sf, name))
+    return load(spark, raw_path(spark, sf, name))
 
 
 def _landed_trips(spark: SparkSession, sf: str, name: str, raw: DataFrame, service) -> DataFrame:
@@ -202,15 +204,15 @@ def _landed_trips(spark: SparkSession, sf: str, name: str, raw: DataFrame, servi
 
 
 def yellow_loaded(spark: SparkSession, sf: str) -> DataFrame:
-    return _landed_raw(spark, sf, "yellow").withColumnsRenamed(YELLOW.renames)
+    return _loaded(spark, sf, load_yellow, "yellow")
 
 
 def green_loaded(spark: SparkSession, sf: str) -> DataFrame:
-    return _landed_raw(spark, sf, "green").withColumnsRenamed(GREEN.renames)
+    return _loaded(spark, sf, load_green, "green")
 
 
 def fhvhv_loaded(spark: SparkSession, sf: str) -> DataFrame:
-    return _landed_raw(spark, sf, "fhvhv")
+    return _loaded(spark, sf, load_fhvhv, "fhvhv")
 
 
 def yellow_trips(spark: SparkSession, sf: str) -> DataFrame:

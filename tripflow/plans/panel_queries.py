@@ -201,15 +201,14 @@ def model_trips(spark, sf):
     return inputs.landed(spark, sf, "model_trips", write)
 
 
-_MODELS = {}
+#: Version of the stored models.
+MODEL_VERSION = "1"
 
 
 def fitted(spark, sf, name, fit):
-    """One fit per session and data set; several queries use the same model."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _MODELS:
-        _MODELS[key] = fit()
-    return _MODELS[key]
+    """The stored model of that name, fitted and written on first use; every query reads it from its files."""
+    path = inputs.landed_path(spark, sf, f"model_{name}", lambda p: models.save_model(fit(), p, MODEL_VERSION))
+    return models.load_model(path, MODEL_VERSION)
 
 
 def tip_split(spark, sf):
@@ -252,7 +251,8 @@ def score_day(spark, sf):
 @register("tip_two_stage")
 def tip_two_stage(spark, sf):
     train, test = tip_split(spark, sf)
-    binary, classes = fitted(spark, sf, "two_stage", lambda: models.fit_two_stage(train))
+    binary = fitted(spark, sf, "has_tip", lambda: models.fit_has_tip(train))
+    classes = fitted(spark, sf, "tip_class", lambda: models.fit_tip_class(train))
     return models.two_stage_accuracy(models.score_two_stage(binary, classes, test))
 
 

@@ -12,7 +12,7 @@ from tripflow.plans.quality_queries import EVENT_NAMES, GROUP_CASES, GROUP_SQL,
 from tripflow.plans.registry import register
 from tripflow.plans.rollup_queries import rounded
 from tripflow.session import shared_folder
-from tripflow.sources import sinks
+from tripflow.sources import reference_data, sinks
 
 GROUPS = [*places.POI_GROUPS, places.OTHER_GROUP]
 
@@ -263,6 +263,17 @@ PARCEL_EDGES = {
 }
 
 
+@register("scan_zone_geometry", query("SELECT zone, CAST(count(*) AS BIGINT) AS edges, CAST(sum(id) AS BIGINT) AS ids FROM parcel_edges GROUP BY 1", PARCEL_EDGES))
+def scan_zone_geometry(spark, sf):
+    def write(path):
+        outlines = parcels(spark, sf).select(F.col("geometry"), F.lit("x").alias("borough"), "zone", "id")
+        sinks.save_result(outlines.where("id % 3 > 0"), path, "csv")
+        outlines.where("id % 3 = 0").select("id", "zone", "geometry", "borough").write.mode("append").option("header", True).csv(path)
+
+    stored = reference_data.load_zone_geometry(spark, inputs.landed_path(spark, sf, "zone_geometry", write))
+    return spatial.zone_edges(stored).groupBy("zone").agg(F.count(F.lit(1)).alias("edges"), F.sum("id").alias("ids"))
+
+
 @register("zone_edges", query("SELECT * FROM parcel_edges", PARCEL_EDGES))
 def zone_edges(spark, sf):
     return spatial.zone_edges(parcels(spark, sf))

@@ -673,6 +673,29 @@ def nan_to_null(spark, sf):
     return inputs.table(spark, sf, "events").select("event_id", text.nan_to_null(holed).alias("value"))
 
 
+@register(
+    "nan_to_null_nested",
+    "SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN value END AS top, CASE WHEN event_id % 4 <> 0 THEN value END AS first, "
+    "CASE WHEN event_id % 5 <> 0 THEN value END AS second, event_type AS kind, CASE WHEN event_id % 7 <> 0 THEN value END AS mapped FROM events",
+)
+def nan_to_null_nested(spark, sf):
+    e = F.col("event_id")
+
+    def holed(n):
+        return F.when(e % n == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+
+    nested = inputs.table(spark, sf, "events").select(
+        "event_id",
+        holed(9).alias("top"),
+        F.struct(F.array(F.struct(holed(4).alias("v")), F.struct(holed(5).alias("v"))).alias("items"), F.col("event_type").alias("kind")).alias("s"),
+        F.create_map(F.lit("a"), F.array(holed(7))).alias("m"),
+    )
+    clean = text.nans_to_nulls(nested)
+    return clean.select(
+        "event_id", "top", F.col("s.items")[0]["v"].alias("first"), F.col("s.items")[1]["v"].alias("second"), F.col("s.kind").alias("kind"), F.col("m")["a"][0].alias("mapped")
+    )
+
+
 DAY_TEXTS = (
     "today", "Tomorrow", "yesterday", "next monday", "next tuesday", "next wednesday", "Next Thursday", "next friday",
     "next saturday", "next sunday", "2026-06-18", "June 18th 2026", "someday",

@@ -28,7 +28,7 @@ STREET_COLUMNS = "PULocationID, DOLocationID, trip_distance, tip_amount, total_a
 
 @register(
     "scan_trips_yellow",
-    query(f"SELECT {sql_ts('pickup_datetime')}, {sql_ts('dropoff_datetime')}, {STREET_COLUMNS}, airport_fee FROM yellow_loaded"),
+    query(f"SELECT {sql_ts('pickup_datetime')}, {sql_ts('dropoff_datetime')}, {STREET_COLUMNS}, airport_fee, VendorID, tolls_amount FROM yellow_loaded"),
 )
 def scan_trips_yellow(spark, sf):
     df = trips.load_yellow(spark, inputs.raw_path(spark, sf, "yellow"))
@@ -187,10 +187,16 @@ def scan_clean_range(spark, sf):
 
 
 def scanned_sales(spark, sf):
-    path = inputs.landed_path(
-        spark, sf, "sales", lambda p: sinks.save_result(inputs.sales(spark, sf), p, "csv")
-    )
-    return reference_data.load_sales(spark, path)
+    """Sales from files of two layouts: columns in another order, numbers with blanks and thousands separators."""
+
+    def write(path):
+        sales = inputs.sales(spark, sf)
+        even = F.pmod(F.xxhash64("NEIGHBORHOOD"), F.lit(2)) == 0
+        sinks.save_result(sales.where(even), path, "csv")
+        other = sales.where(~even).withColumn("GROSS SQUARE FEET", F.concat(F.lit(" "), F.format_number("GROSS SQUARE FEET", 1)))
+        other.select(F.lit("").alias("EASE-MENT"), *reversed(other.columns)).write.mode("append").option("header", True).csv(path)
+
+    return reference_data.load_sales(spark, inputs.landed_path(spark, sf, "sales", write))
 
 
 @register("scan_sales", query("SELECT * FROM sales"))
@@ -247,6 +253,12 @@ def scan_feed_json(spark, sf):
     )
 
 
+@register("scan_cameras", query("SELECT * EXCLUDE (s_suppkey) FROM cameras"))
+def scan_cameras(spark, sf):
+    path = inputs.landed_path(spark, sf, "camera_feed", lambda p: inputs.cameras(spark, sf).write.json(p))
+    return reference_data.load_camera_feed(spark, path)
+
+
 # ---- sinks ------------------------------------------------------------------
 
 @register(

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 # Column names and types of the public input files (DDL).
 YELLOW_RAW = """
-    tpep_pickup_datetime timestamp_ntz, tpep_dropoff_datetime timestamp_ntz,
+    VendorID bigint, tpep_pickup_datetime timestamp_ntz, tpep_dropoff_datetime timestamp_ntz,
     trip_distance double, PULocationID bigint, DOLocationID bigint,
-    tip_amount double, total_amount double, congestion_surcharge double,
+    tip_amount double, tolls_amount double, total_amount double, congestion_surcharge double,
     airport_fee double, cbd_congestion_fee double
 """
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from functools import reduce
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DataType, IntegralType, NumericType, StringType, StructField, StructType
 
 from tripflow import schemas
 from tripflow.functions.calendar import utc_to_local
@@ -85,24 +88,71 @@ def load_poi_elements(spark: SparkSession, path: str, category: str) -> DataFram
     return flatten_poi_elements(spark.read.schema(schemas.POI_ELEMENT).json(path), category)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The schema's columns of a CSV file, found by their header names in any order.
+#: What the files write for no value.
+NO_VALUE = ("", "-")
+
+
+def _parsed(raw: Column, kind: DataType) -> Column:
+    """A text as a value of its type, null where it does not parse. Numbers may hold blanks and thousands separators."""
+    if isinstance(kind, NumericType):
+        raw = F.regexp_replace(raw, "[\\s,]", "")
+        if isinstance(kind, IntegralType):
+            # Whole numbers are also written as 12.0.
+            raw = F.regexp_replace(raw, "\\.0*$", "")
+    return raw.try_cast(kind) if not isinstance(kind, StringType) else raw
 
-    Other columns are left out, a missing one is an error. Quoted fields may hold doubled quotes and
-    line breaks.
-    """
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return rows.select(*(F.col(f"`{field.name}`").cast(field.dataType).alias(field.name) for field in StructType.fromDDL(schema)))
 
+def csv_headers(spark: SparkSession, path: str, multiline: bool = True) -> dict[tuple[str, ...], list[str]]:
+    """Files by their header. Runs one small read per file, of its first record."""
+    reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
+    headers: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(spark.read.text(path).inputFiles()):
+        headers.setdefault(tuple(reader.csv(unquote(file)).columns), []).append(unquote(file))
+    return headers
 
-def load_sales(spark: SparkSession, path: str) -> DataFrame:
+
+def read_csv(spark: SparkSession, path: str, schema: str, rejects: str | None = None, multiline: bool = True) -> DataFrame:
+    """The schema's columns of the CSV files at ``path``, found by each file's own header in any order.
+
+    Other columns are left out, a missing one is an error. A value that does not parse becomes null; ``rejects`` names
+    a column that maps the columns of such values to their texts. Quoted fields may hold doubled quotes and,
+    with ``multiline``, line breaks: then each file is one task; without it large files are split.
+    """
+    fields = StructType.fromDDL(schema).fields
+    parts = []
+    for header, files in csv_headers(spark, path, multiline).items():
+        missing = [field.name for field in fields if field.name not in header]
+        if missing:
+            raise ValueError(f"{files[0]} has no column {', '.join(missing)}")
+        # Names by position, as the reader would rename repeated ones.
+        raw = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
+        raw = raw.schema(StructType([StructField(f"_{i}", StringType()) for i in range(len(header))])).option("enforceSchema", True).csv(files)
+        texts = {field.name: F.col(f"_{header.index(field.name)}") for field in fields}
+        columns = [_parsed(texts[field.name], field.dataType).alias(field.name) for field in fields]
+        if rejects:
+            bad = [
+                F.when(
+                    _parsed(text, field.dataType).isNull() & text.isNotNull() & ~F.regexp_replace(text, "\\s", "").isin(*NO_VALUE),
+                    F.struct(F.lit(field.name).alias("key"), text.alias("value")),
+                )
+                for field in fields
+                for text in (texts[field.name],)
+            ]
+            columns.append(F.map_from_entries(F.array_compact(F.array(*bad))).alias(rejects))
+        parts.append(raw.select(*columns))
+    if not parts:
+        raise ValueError(f"no files at {path}")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def load_sales(spark: SparkSession, path: str, rejects: str | None = None) -> DataFrame:
     """Property sales from CSV with an explicit schema (no inference pass)."""
-    return read_csv(spark, path, schemas.SALES)
+    return read_csv(spark, path, schemas.SALES, rejects)
 
 
-def load_incident_history(spark: SparkSession, path: str) -> DataFrame:
+def load_incident_history(spark: SparkSession, path: str, rejects: str | None = None) -> DataFrame:
     """Traffic event history from CSV with an explicit schema."""
-    return read_csv(spark, path, schemas.INCIDENT_HISTORY)
+    return read_csv(spark, path, schemas.INCIDENT_HISTORY, rejects)
 
 
 def load_event_feed(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:

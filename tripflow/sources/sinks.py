@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tripflow.session import shared_folder
 
 
-def delete_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder in whatever store its path names."""
+def delete_folder(spark: SparkSession, path: str) -> bool:
+    """Delete a folder in whatever store its path names; whether there was one."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def land(df: DataFrame, purpose: str, written: list[str] | None = None) -> DataFrame:
@@ -51,6 +51,30 @@ def save_trips(
     )
 
 
+def replace_months(
+    df: DataFrame, path: str, first: tuple[int, int], last: tuple[int, int], partitions: tuple[str, str] = ("pickup_year", "pickup_month")
+) -> list[tuple[int, int]]:
+    """Make the stored months from ``first`` to ``last`` (year, month) hold exactly the rows of ``df`` in that range.
+
+    Months that came out empty are cleared, others stay untouched. The months written are observed during
+    the write, without a second pass. Rows are written before anything is cleared, and both steps give the same
+    result when repeated, so a rerun mends whatever a lost driver left. Returns the cleared months.
+    """
+    year, month = (F.col(c).cast("int") for c in partitions)
+    number = year * 12 + month
+    low, high = (y * 12 + m for y, m in (first, last))
+    seen = Observation("months")
+    kept = df.where((number >= low) & (number <= high)).observe(seen, F.collect_set(F.struct(*partitions)).alias("months"))
+    save_trips(kept, path, partitions=partitions)
+    written = {(row[0], row[1]) for row in seen.get["months"]}
+    spark, cleared = df.sparkSession, []
+    for at in range(low, high + 1):
+        one = ((at - 1) // 12, (at - 1) % 12 + 1)
+        if one not in written and delete_folder(spark, f"{path}/{partitions[0]}={one[0]}/{partitions[1]}={one[1]}"):
+            cleared.append(one)
+    return cleared
+
+
 def save_result(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
     if fmt == "csv":
