@@ -259,6 +259,26 @@ def weather(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def fhvhv_weather(spark: SparkSession, sf: str) -> DataFrame:
+    """One reading per zone and hour in which an app-based ride began."""
+    low, high, n = F.min("trip_miles"), F.max("trip_miles"), F.count(F.lit(1))
+    return (
+        fhvhv_loaded(spark, sf)
+        .groupBy(hour_floor("pickup_datetime").alias("datetime"), F.col("PULocationID").cast("int").alias("id"))
+        .agg(
+            (low / 2 - 5).alias("temperature_2m"),
+            (low / 2 - 7).alias("apparent_temperature"),
+            (high / 20).alias("precipitation"),
+            (high / 25).alias("rain"),
+            (n % 3).cast("double").alias("snowfall"),
+            (high / 3).alias("wind_speed_10m"),
+            (high / 2).alias("wind_gusts_10m"),
+            (n % 100).cast("double").alias("relative_humidity_2m"),
+            (n % 4).cast("double").alias("weather_code"),
+        )
+    )
+
+
 # ---- places -----------------------------------------------------------------
 
 def pois(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,6 +12,7 @@ from tripflow.plans.place_queries import COUNTED, group_density
 from tripflow.plans.registry import register
 from tripflow.plans.rollup_queries import rounded
 from tripflow.plans.source_queries import ts_text
+from tripflow.schemas import WEATHER_VALUES
 
 START, CUT, END = "2024-01-01", "2024-01-21", "2024-01-31"
 FEATURES = ["pickups", "precipitation", "wind_speed_10m", "hour_sin", "hour_cos", "dow_sin", "dow_cos"]
@@ -188,17 +189,16 @@ def join_pois(spark, sf):
     return joined_pois(spark, sf).groupBy("PULocationID", "DOLocationID", *columns).agg(F.count(F.lit(1)).alias("trips"))
 
 
-WEATHER_FEATURES = ["temperature_2m", "precipitation", "rain", "wind_speed_10m"]
-
-
-def model_trips(spark, sf):
-    """Yellow trips with POI and weather columns, stored once for the model queries."""
+def model_trips(spark, sf, service):
+    """Trips with the POI and weather columns of the service's tip model, stored once for the model queries."""
+    trips, weather = {"yellow": (inputs.yellow_trips, inputs.weather), "fhvhv": (inputs.fhvhv_trips, inputs.fhvhv_weather)}[service]
 
     def write(path):
-        joined = enrich.join_weather(joined_pois(spark, sf), inputs.weather(spark, sf), WEATHER_FEATURES)
-        joined.write.parquet(path)
+        pois = group_density(spark, sf).select("id", *models.POI_FEATURES)
+        joined = enrich.join_pois(trips(spark, sf), pois, models.POI_FEATURES)
+        enrich.join_weather(joined, weather(spark, sf), list(WEATHER_VALUES)).write.parquet(path)
 
-    return inputs.landed(spark, sf, "model_trips", write)
+    return inputs.landed(spark, sf, f"model_trips_{service}", write)
 
 
 #: Version of the stored models.
@@ -211,27 +211,45 @@ def fitted(spark, sf, name, fit):
     return models.load_model(path, MODEL_VERSION)
 
 
-def tip_split(spark, sf):
-    return quality.time_split(model_trips(spark, sf), "2024-01-22")
+SPLIT_DAYS = {"yellow": "2024-01-22", "fhvhv": "2000-01-01"}
+
+
+def tip_split(spark, sf, service="yellow"):
+    return quality.time_split(model_trips(spark, sf, service), SPLIT_DAYS[service])
 
 
 def tip_model(spark, sf):
-    return fitted(spark, sf, "tips", lambda: models.fit_tip_classifier(tip_split(spark, sf)[0]))
+    return fitted(spark, sf, "tips", lambda: models.fit_tip_classifier(tip_split(spark, sf)[0], **models.TIP_FEATURES["yellow"]))
 
 
-@register("tip_features")
-def tip_features(spark, sf):
-    from pyspark.ml.functions import vector_to_array
+MODEL_TRIPS = {
+    **COUNTED,
+    "model_trips": "SELECT t.*, w.* EXCLUDE (id, datetime), "
+    + ", ".join(f"d.{c} AS pu_poi_{c}" for c in models.POI_FEATURES)
+    + " FROM yellow_trips t JOIN weather w ON w.id = t.PULocationID AND w.datetime = date_trunc('hour', pickup_datetime) LEFT JOIN densities d ON d.id = t.PULocationID WHERE w.rain IS NOT NULL",
+    "model_train": "SELECT * FROM model_trips WHERE pickup_datetime < TIMESTAMP '2024-01-22'",
+    "model_test": "SELECT * FROM model_trips WHERE pickup_datetime >= TIMESTAMP '2024-01-22'",
+}
 
+
+@register(
+    "tip_features",
+    query(
+        " UNION ALL ".join(
+            [f"SELECT '{c}' AS feature, {r(f'sum({c})', 3)} AS total FROM model_test" for c in models.TIP_FEATURES["yellow"]["numeric"]]
+            + [
+                f"SELECT '{c}=' || label AS feature, (SELECT CAST(count(*) AS DOUBLE) FROM model_test WHERE CAST({c} AS VARCHAR) = label) AS total FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS label FROM model_train)"
+                for c in models.TIP_FEATURES["yellow"]["categorical"]
+            ]
+        ),
+        MODEL_TRIPS,
+    ),
+)
+def tip_features(spark, sf):
+    columns = models.TIP_FEATURES["yellow"]
     train, test = tip_split(spark, sf)
-    model = fitted(spark, sf, "features", lambda: models.fit_features(train))
-    values = vector_to_array("features")
-    return model.transform(test).select(
-        "PULocationID",
-        "tip_category",
-        F.size(values).alias("width"),
-        F.size(F.filter(values, lambda v: v != 0)).alias("filled"),
-    )
+    model = fitted(spark, sf, "features", lambda: models.fit_features(train, **columns))
+    return rounded(models.feature_totals(model, test, **columns), total=3)
 
 
 @register("tip_classifier")
@@ -239,21 +257,26 @@ def tip_classifier(spark, sf):
     scored = models.score_tips(tip_model(spark, sf), tip_split(spark, sf)[1])
     accuracy = scoring.top_n_accuracy(scored, "tip_category", lookups.PROBABILITIES)
     loss = scoring.log_loss(scored, "tip_category", lookups.PROBABILITIES)
-    return accuracy.withColumns({c: loss.select(c).scalar() for c in ("rows", "log_loss")})
+    auc = scoring.area_under_curve(scored.withColumn("_tipped", 1 - F.col("prob_class_0")), F.col("tip_category") > 0, "_tipped")
+    return accuracy.withColumns({c: table.select(c).scalar() for table, c in ((loss, "rows"), (loss, "log_loss"), (auc, "auc"))})
 
 
 @register("score_day")
 def score_day(spark, sf):
-    scores = models.score_day(tip_model(spark, sf), model_trips(spark, sf), "2024-01-25")
+    scores = models.score_day(tip_model(spark, sf), model_trips(spark, sf, "yellow"), "2024-01-25")
     return lookups.expected_tip_by_zone(scores, inputs.zones(spark, sf))
 
 
 @register("tip_two_stage")
 def tip_two_stage(spark, sf):
-    train, test = tip_split(spark, sf)
-    binary = fitted(spark, sf, "has_tip", lambda: models.fit_has_tip(train))
-    classes = fitted(spark, sf, "tip_class", lambda: models.fit_tip_class(train))
-    return models.two_stage_accuracy(models.score_two_stage(binary, classes, test))
+    """App-based rides: a tip at all, then its class, from weather, places at both ends, fare and zones."""
+    train, test = tip_split(spark, sf, "fhvhv")
+    columns = models.TIP_FEATURES["fhvhv"]
+    binary = fitted(spark, sf, "has_tip", lambda: models.fit_has_tip(train, **columns))
+    classes = fitted(spark, sf, "tip_class", lambda: models.fit_tip_class(train, **columns))
+    scored = models.score_two_stage(binary, classes, test)
+    auc = scoring.area_under_curve(scored, F.col("tip_category") > 0, "prob_has_tip")
+    return models.two_stage_accuracy(scored).withColumn("auc", auc.select("auc").scalar())
 
 
 @register("event_clusters")
