@@ -1 +1 @@
-"""No streaming operators: every input is a set of landed files."""
+"""Incremental jobs over landed files."""
