@@ -135,8 +135,9 @@ def wkt(polygons):
     return "MULTIPOLYGON (" + ", ".join("(" + ", ".join(map(ring_text, p)) + ")" for p in polygons) + ")"
 
 
-@pytest.mark.parametrize("cell", [0.7, 5.0, None])
-def test_within_matches_brute_force(spark, join_size, cell):
+@pytest.mark.parametrize("classes", [1, 6])
+def test_within_matches_brute_force(spark, join_size, monkeypatch, classes):
+    monkeypatch.setattr(spatial, "CLASSES", classes)
     rng = random.Random(5)
     shapes = {}
     for i in range(6):
@@ -144,17 +145,30 @@ def test_within_matches_brute_force(spark, join_size, cell):
         shell = star(rng, cx, cy, 4, 25)
         hole = [(cx - 0.3, cy - 0.3), (cx + 0.3, cy - 0.3), (cx + 0.3, cy + 0.3), (cx - 0.3, cy + 0.3), (cx - 0.3, cy - 0.3)]
         shapes[i] = [[shell, hole], [star(rng, cx + 4.5, cy + 4.5, 0.4, 7)]]
+    shapes[6], shapes[7] = [[star(rng, 3, 2, 14, 40)]], [[star(rng, 3, 2, 0.2, 9)]]
     zones = spark.createDataFrame([(i, wkt(p)) for i, p in shapes.items()], "id int, geometry string")
     points = [(j, rng.uniform(-13, 20), rng.uniform(-10, 13)) for j in range(400)]
+    points += [(400 + j, 3 + rng.uniform(-0.3, 0.3), 2 + rng.uniform(-0.3, 0.3)) for j in range(60)] + [(500, None, 1.0)]
     df = spark.createDataFrame(points, "j int, x double, y double").withColumn("tags", F.create_map(F.lit("name"), F.col("j")))
     got = {}
-    for row in spatial.within(df, zones, "x", "y", "left", cell).collect():
+    for row in spatial.within(df, zones, "x", "y", "left").collect():
         got.setdefault(row["j"], set()).add(row["id"])
     for j, x, y in points:
-        want = {i for i, p in shapes.items() if brute_inside(p, x, y)} or {None}
+        want = {i for i, p in shapes.items() if x is not None and brute_inside(p, x, y)} or {None}
         assert got[j] == want
 
 
+def test_one_large_zone_does_not_multiply_the_cells(spark):
+    def box(x, y, size):
+        return f"POLYGON (({x} {y}, {x + size} {y}, {x + size} {y + size}, {x} {y + size}, {x} {y}))"
+
+    rows = [(i, box(i % 20 * 0.01, i // 20 * 0.01, 0.01)) for i in range(200)] + [(200, box(0, 0, 30))]
+    cells = spatial.grid_cells(spark.createDataFrame(rows, "id int, geometry string"))
+    per_zone = {r.id: r["count"] for r in cells.groupBy("id").count().collect()}
+    assert len(per_zone) == 201 and max(per_zone.values()) <= 81 + 2 * 9 + 1
+    assert cells.where("id = 200 AND whole").count() == 36
+
+
 def test_borders_belong_to_one_box(spark):
     boxes = [(f"{i}", f"POLYGON (({i} 0, {i + 1} 0, {i + 1} 1, {i} 1, {i} 0))") for i in range(3)]
     zones = spark.createDataFrame(boxes, "id string, geometry string")

@@ -5,8 +5,8 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, StructType
 
-from tripflow.operators.joins import join_dimension
 from tripflow.sources.sinks import land
 
 
@@ -80,56 +80,66 @@ def _crossed(edge: Column, x: Column, y: Column) -> Column:
     return ((edge["y1"] > y) != (edge["y2"] > y)) & (x < at)
 
 
-def grid_cells(zones: DataFrame, id_col: str, cell: float, geometry: str = "geometry") -> DataFrame:
-    """Zones cut into square cells, each with the edges that can decide a point in it.
+#: Zones are sorted into classes by extent, each a quarter of the one before; the last holds all smaller ones.
+CLASSES = 6
+#: Cells along the largest zone of a class.
+CELLS_ACROSS = 8
 
-    A ray to the right is only crossed by edges that share the cell's rows and do not
-    lie wholly to its left, so a cell keeps few edges of a long outline. Horizontal
-    edges never count. Cells without any edge lie outside and are left out.
+
+def grid_cells(zones: DataFrame, geometry: str = "geometry", largest: float | None = None) -> DataFrame:
+    """Zones cut into square cells of their class, at most (``CELLS_ACROSS`` + 1) squared for each zone.
+
+    Columns of the zones, level (class), size, cell_x, cell_y, whole and edges. A cell that no edge touches lies wholly inside
+    (``whole``) or is left out; a border cell carries the edges that can decide a point in it: a ray to the
+    right is only crossed by edges that share the cell's rows and do not lie wholly to its left.
+    ``largest`` is the greatest extent of a zone, by default that of these zones.
     """
     edges = F.flatten(F.flatten(F.transform(rings_from_wkt(F.col(geometry)), lambda p: F.transform(p, _ring_edges))))
-    steep = F.filter(edges, lambda e: e["y1"] != e["y2"])
 
-    def reach(pick, axis: str) -> Column:
+    def bound(pick, axis: str) -> Column:
         values = F.transform(F.col("_edges"), lambda e: pick(e[f"{axis}1"], e[f"{axis}2"]))
-        extreme = F.array_min(values) if pick is F.least else F.array_max(values)
-        return F.floor(extreme / cell).cast("int")
-
-    boxed = zones.withColumn("_edges", steep).withColumn(
-        "cell_x", F.explode(F.sequence(reach(F.least, "x"), reach(F.greatest, "x")))
-    ).withColumn("cell_y", F.explode(F.sequence(reach(F.least, "y"), reach(F.greatest, "y"))))
-    left, bottom = F.col("cell_x") * cell, F.col("cell_y") * cell
-    relevant = F.filter(
-        F.col("_edges"),
-        lambda e: (F.greatest(e["y1"], e["y2"]) >= bottom)
-        & (F.least(e["y1"], e["y2"]) <= bottom + cell)
-        & (F.greatest(e["x1"], e["x2"]) >= left),
-    )
+        return F.array_min(values) if pick is F.least else F.array_max(values)
+
+    boxed = zones.withColumn("_edges", edges).where(F.size("_edges") > 0)
+    boxed = boxed.withColumns({f"_{axis}{i}": bound(pick, axis) for axis in "xy" for i, pick in enumerate((F.least, F.greatest))})
+    boxed = boxed.withColumn("_extent", F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))).where(F.col("_extent") > 0)
+    top = F.lit(largest) if largest else boxed.agg(F.max("_extent")).scalar()
+    level = F.least(F.floor(F.log2(top / F.col("_extent")) / 2), F.lit(CLASSES - 1))
+    sized = boxed.withColumn("level", F.greatest(level, F.lit(0)).cast("int"))
+    sized = sized.withColumn("size", top / F.pow(F.lit(4.0), "level") / CELLS_ACROSS)
+
+    def cells(axis: str) -> Column:
+        return F.explode(F.sequence(*[F.floor(F.col(f"_{axis}{i}") / F.col("size")) for i in (0, 1)]))
+
+    gridded = sized.withColumn("cell_x", cells("x")).withColumn("cell_y", cells("y"))
+    left, bottom = F.col("cell_x") * F.col("size"), F.col("cell_y") * F.col("size")
+    # Half a thousandth of a cell more on each side, so that rounding moves no point out of a border cell.
+    slack = F.col("size") / 2000
+
+    def touches(e: Column) -> Column:
+        return (
+            (F.greatest(e["y1"], e["y2"]) >= bottom - slack)
+            & (F.least(e["y1"], e["y2"]) <= bottom + F.col("size") + slack)
+            & (F.greatest(e["x1"], e["x2"]) >= left - slack)
+        )
+
+    beside = F.filter("_edges", touches)
+    crossed = F.exists(beside, lambda e: F.least(e["x1"], e["x2"]) <= left + F.col("size") + slack)
+    middle = F.size(F.filter(beside, lambda e: _crossed(e, left + F.col("size") / 2, bottom + F.col("size") / 2))) % 2 == 1
+    steep = F.filter(beside, lambda e: e["y1"] != e["y2"])
     others = [c for c in zones.columns if c != geometry]
-    return boxed.withColumn("edges", relevant).where(F.size("edges") > 0).select(
-        *others, "cell_x", "cell_y", "edges"
+    marked = gridded.withColumns({"_border": crossed, "_middle": middle}).where(F.col("_border") | F.col("_middle"))
+    return marked.select(
+        *others, "level", "size", "cell_x", "cell_y", (~F.col("_border")).alias("whole"), F.when(F.col("_border"), steep).otherwise(F.array()).alias("edges")
     )
 
 
-def cell_size(zones: DataFrame, per_zone: int = 8, geometry: str = "geometry") -> float:
-    """Cell width that cuts an average zone into about ``per_zone`` by ``per_zone`` cells."""
-    points = F.flatten(F.flatten(rings_from_wkt(F.col(geometry))))
-    spans = [
-        F.array_max(F.transform(points, lambda p: p[axis])) - F.array_min(F.transform(points, lambda p: p[axis]))
-        for axis in ("x", "y")
-    ]
-    width = zones.agg(F.avg(F.greatest(*spans))).first()[0]
-    return float(width) / per_zone if width else 1.0
-
-
 def within(
     points: DataFrame,
     zones: DataFrame,
     x: str,
     y: str,
     how: str = "inner",
-    cell: float | None = None,
-    id_col: str = "id",
     geometry: str = "geometry",
 ) -> DataFrame:
     """Points with the columns of the zone they lie in.
@@ -138,24 +148,29 @@ def within(
     neighbours share no point; holes and multi-part zones follow from the parity of
     crossed edges. ``how="left"`` keeps points outside all zones.
 
-    Points and zones meet on their grid cell, by one equality join: adaptive execution
-    broadcasts few cells and splits crowded ones.
+    Points meet the cells of each class of zones in one equality join. The cells are written first: their
+    file size, not a guess, decides whether they are broadcast, and the points keep their place then. Many zones in
+    a cell travel as one row, so a point is never multiplied before it is tested.
     """
-    size = cell or cell_size(zones, geometry=geometry)
-    cells = grid_cells(zones, id_col, size, geometry)
-    located = points.withColumns(
-        {
-            "_x": F.col(x),
-            "_y": F.col(y),
-            "_point_x": F.floor(F.col(x) / size).cast("int"),
-            "_point_y": F.floor(F.col(y) / size).cast("int"),
-        }
-    )
-    inside = F.size(F.filter(F.col("edges"), lambda e: _crossed(e, F.col("_x"), F.col("_y")))) % 2 == 1
-    helpers = ["_x", "_y", "_point_x", "_point_y", "edges"]
-    keyed = cells.withColumnsRenamed({"cell_x": "_point_x", "cell_y": "_point_y"})
-    joined = join_dimension(located, keyed, ["_point_x", "_point_y"], how, inside)
-    return joined.drop(*helpers)
+    others = [c for c in zones.columns if c != geometry]
+    cells = land(grid_cells(zones, geometry), "zone-cells")
+    sizes = {row["level"]: row["size"] for row in cells.groupBy("level").agg(F.first("size").alias("size")).collect()}
+    zone_type = ArrayType(StructType([cells.schema[c] for c in others]))
+    found = points.withColumn("_zones", F.array().cast(zone_type))
+    px, py = F.col(x), F.col(y)
+    for level, size in sorted(sizes.items()):
+        one = F.struct("whole", "edges", F.struct(*others).alias("zone"))
+        keyed = cells.where(F.col("level") == level).groupBy(F.col("cell_x").alias("_cx"), F.col("cell_y").alias("_cy"))
+        keyed = land(keyed.agg(F.collect_list(one).alias("_cell")), "cells-by-place")
+        place = (F.floor(px / size) == F.col("_cx")) & (F.floor(py / size) == F.col("_cy"))
+        inside = F.filter(
+            F.coalesce("_cell", F.array()),
+            lambda c: c["whole"] | (F.size(F.filter(c["edges"], lambda e: _crossed(e, px, py))) % 2 == 1),
+        )
+        found = found.join(keyed, place, "left").withColumn("_zones", F.concat("_zones", F.transform(inside, lambda c: c["zone"])))
+        found = found.drop("_cx", "_cy", "_cell")
+    pick = F.inline if how == "inner" else F.inline_outer
+    return found.select(*points.columns, pick("_zones").alias(*others))
 
 
 def events_by_zone(points: DataFrame, zones: DataFrame, x: str, y: str) -> DataFrame:

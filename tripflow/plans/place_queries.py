@@ -211,6 +211,26 @@ def spatial_within_vectors(spark, sf):
     return spatial.within(points, box_zones(spark, sf), "x", "y").select("vec_id", "id")
 
 
+SLANTED_POINTS = "SELECT event_id, event_id * 7919 % 40000 / 100 + 0.003::DOUBLE AS x, event_id * 4729 % 38000 / 100 + 0.0035::DOUBLE AS y FROM events"
+
+
+@register(
+    "spatial_within_slanted",
+    f"SELECT event_id, 0::BIGINT AS id FROM ({SLANTED_POINTS}) WHERE abs(x - 200) + abs(y - 190) < 150 UNION ALL "
+    f"SELECT event_id, c_custkey AS id FROM ({SLANTED_POINTS}) JOIN customer ON c_custkey = CAST(floor(y / 10) * 40 + floor(x / 10) AS BIGINT) WHERE x % 10 + y % 10 < 10",
+)
+def spatial_within_slanted(spark, sf):
+    """A triangle per customer and one large diamond over many of them."""
+    k = F.col("c_custkey")
+    x, y = k % 40 * 10, F.floor(k / 40) * 10
+    corners = [F.concat_ws(" ", (x + a).cast("string"), (y + b).cast("string")) for a, b in ((0, 0), (10, 0), (0, 10), (0, 0))]
+    triangles = inputs.table(spark, sf, "customer").select(k.alias("id"), F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *corners), F.lit("))")).alias("geometry"))
+    diamond = spark.range(1).select("id", F.lit("POLYGON ((50 190, 200 40, 350 190, 200 340, 50 190))").alias("geometry"))
+    e = F.col("event_id")
+    points = inputs.table(spark, sf, "events").select(e, (e * 7919 % 40000 / 100 + 0.003).alias("x"), (e * 4729 % 38000 / 100 + 0.0035).alias("y"))
+    return spatial.within(points, triangles.unionByName(diamond), "x", "y").select("event_id", "id")
+
+
 @register(
     "events_by_zone",
     query("SELECT LocationID AS id, Zone AS zone, Borough AS borough, count(p.id) AS events FROM zones LEFT JOIN placed p ON p.id = LocationID GROUP BY 1, 2, 3", PLACED),
@@ -440,7 +460,7 @@ def top_event_zones(spark, sf):
     real, _ = events.split_impacts(prepared_notices(spark, sf))
     days = (F.to_date("StartDate") <= F.lit("2024-01-20").cast("date")) & (F.to_date("EndDate") >= F.lit("2024-01-10").cast("date"))
     zones = box_zones(spark, sf).drop("borough").withColumnRenamed("id", "id_zone")
-    located = spatial.within(real.where(days), zones, "Longitude", "Latitude", id_col="id_zone")
+    located = spatial.within(real.where(days), zones, "Longitude", "Latitude")
     return events.top_event_zones(located).withColumn("list_names", F.array_join("list_names", "|"))
 
 
@@ -514,7 +534,7 @@ CAMERAS = {
 
 def located_cameras(spark, sf):
     zones = box_zones(spark, sf).withColumnRenamed("id", "id_zone")
-    return spatial.within(inputs.cameras(spark, sf), zones, "Longitude", "Latitude", id_col="id_zone")
+    return spatial.within(inputs.cameras(spark, sf), zones, "Longitude", "Latitude")
 
 
 @register(
