@@ -357,6 +357,14 @@ def test_p_value():
     assert stats.pearson_p_value(0.0, 30) == pytest.approx(1.0, abs=1e-6)
 
 
+def test_p_value_column(spark):
+    cases = [(0.5, 20), (0.0, 30), (-0.9, 5), (0.03, 4000), (1.0, 9), (0.4, 3)]
+    df = spark.createDataFrame(cases, "r double, n int").select("r", "n", stats.correlation_p_value(F.col("r"), F.col("n")).alias("p"))
+    for row in df.collect():
+        assert row.p == pytest.approx(stats.pearson_p_value(row.r, row.n), abs=1e-6)
+    assert spark.range(1).select(stats.correlation_p_value(F.lit(0.1), F.lit(2)).alias("p")).first().p is None
+
+
 # ---- places -----------------------------------------------------------------
 
 def test_closing_reasons(spark):

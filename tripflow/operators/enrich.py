@@ -8,6 +8,7 @@ from tripflow.functions.calendar import hour_floor
 from tripflow.functions.fares import tip_category
 from tripflow.operators.joins import join_dimension
 from tripflow.sources.reference_data import zone_dimension
+from tripflow.sources.sinks import land
 
 SIDES = {"pickup": "PULocationID", "dropoff": "DOLocationID"}
 
@@ -100,8 +101,12 @@ def keep_boroughs(df: DataFrame, zones: DataFrame, pickup: str, dropoff: str) ->
 
 
 def flag_high_ses(df: DataFrame, ses: DataFrame) -> DataFrame:
-    """Whether the dropoff zone has a high-SES place (null for an unknown zone)."""
-    dim = zone_dimension(ses.withColumn("is_high_SES", F.col("high_SES_count") > 0), "id", "is_high_SES")
+    """Whether the dropoff zone has a high-SES place (null for an unknown zone).
+
+    The flags are written first: their file size, not that of what they come from, decides how trips meet them.
+    """
+    flags = zone_dimension(ses.withColumn("is_high_SES", F.col("high_SES_count") > 0), "id", "is_high_SES")
+    dim = land(flags, "dimension")
     return df.join(
         dim.withColumnRenamed("id", "_zone_id"),
         F.col("DOLocationID") == F.col("_zone_id"),
@@ -112,14 +117,15 @@ def flag_high_ses(df: DataFrame, ses: DataFrame) -> DataFrame:
 def tip_baseline(train: DataFrame, test: DataFrame, tip: str = "tip_amount") -> DataFrame:
     """Test rows with the category of the mean training tip of their zone.
 
-    A zone without training rows has no mean and falls into the last category.
+    A zone without training rows has no mean and falls into the last category. The means are written first, so
+    that their size decides how the test rows meet them.
     """
     means = (
         train.where(F.col("PULocationID").isNotNull())
         .groupBy("PULocationID")
         .agg(F.avg(tip).alias("predicted_tip"))
     )
-    dim = zone_dimension(means, "PULocationID", "predicted_tip")
+    dim = land(zone_dimension(means, "PULocationID", "predicted_tip"), "dimension")
     return test.join(dim, "PULocationID", "left").withColumn(
         "predicted_category", F.coalesce(tip_category(F.col("predicted_tip")), F.lit(4))
     )

@@ -103,8 +103,11 @@ def match_impacts(events: DataFrame, impacts: DataFrame) -> tuple[DataFrame, Dat
         .drop("_n")
     )
     on = (F.col("venue") == F.col("_venue")) & (F.col("StartDate") == F.col("_start"))
-    matched = impacts.join(single, on, "inner")
-    unmatched = impacts.join(single, on, "left_anti")
+    # Impacts without venue or start match nothing; they pass by the join, where their null keys would meet in one task.
+    keyed = F.col("venue").isNotNull() & F.col("StartDate").isNotNull()
+    met = impacts.where(keyed).join(single, on, "left").drop("_venue", "_start")
+    matched = met.where(F.col("event_id").isNotNull())
+    unmatched = met.where(F.col("event_id").isNull()).drop("event_id").unionByName(impacts.where(~keyed))
     roads = (
         matched.groupBy("event_id", "RoadwayName")
         .agg(_first_position())

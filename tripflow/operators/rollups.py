@@ -8,6 +8,7 @@ from tripflow.config import TIME_BANDS, Service
 from tripflow.functions.calendar import month_label, month_start, time_band
 from tripflow.functions.fares import tip_pct, trip_length_class
 from tripflow.functions.numeric import count_if, ratio, round_half_up
+from tripflow.operators.joins import numbered
 from tripflow.operators.quantiles import exact_percentiles
 from tripflow.sources.reference_data import zone_dimension
 
@@ -439,9 +440,7 @@ def od_flows(
 ) -> DataFrame:
     """Trips per origin-destination pair with the percent of all trips; the top ``n``."""
     pairs = df.groupBy(origin, target).agg(F.count(F.lit(1)).alias("trips"))
-    shared = pairs.withColumn(
-        "pct_of_all", F.col("trips") / F.sum("trips").over(Window.partitionBy()) * 100
-    )
+    shared = pairs.withColumn("pct_of_all", F.col("trips") / pairs.agg(F.sum("trips")).scalar() * 100)
     if n is None:
         return shared
     return shared.orderBy(F.desc("trips"), origin, target).limit(n)
@@ -459,22 +458,18 @@ def busiest(df: DataFrame, area: list[str], n: int = 10) -> DataFrame:
 def flow_nodes(df: DataFrame, origin: str, target: str) -> DataFrame:
     """Distinct places of both ends with a source id (0..n-1) and a target id (n..2n-1).
 
-    Ids follow the alphabet; the window runs over distinct places only.
+    Ids follow the alphabet, numbered by ranges of labels.
     """
     pairs = df.select(origin, target).distinct()
-    nodes = (
+    labels = (
         pairs.select(F.col(origin).alias("label"))
         .union(pairs.select(F.col(target).alias("label")))
         .where(F.col("label").isNotNull())
         .distinct()
     )
-    source = F.dense_rank().over(Window.orderBy("label")) - 1
-    return nodes.withColumns(
-        {
-            "source_id": source,
-            "target_id": source + F.count(F.lit(1)).over(Window.partitionBy()).cast("int"),
-        }
-    )
+    nodes = numbered(labels, "label", "source_id")
+    count = nodes.agg(F.count(F.lit(1))).scalar()
+    return nodes.withColumns({"source_id": F.col("source_id").cast("int"), "target_id": (F.col("source_id") + count).cast("int")})
 
 
 def flow_links(df: DataFrame, origin: str, target: str, n: int | None = 35) -> DataFrame:

@@ -39,7 +39,7 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def regression_line(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Pearson r, degree-1 fit and the t statistic of r."""
+    """Pearson r, degree-1 fit, the t statistic of r and its two-sided p-value."""
     n, r = F.col("n"), F.col("r")
     t = r * F.sqrt((n - 2) / F.when(1 - r * r > 0, 1 - r * r))
     return df.agg(
@@ -47,7 +47,27 @@ def regression_line(df: DataFrame, x: str, y: str) -> DataFrame:
         pearson(x, y).alias("r"),
         F.regr_slope(F.col(y), F.col(x)).alias("slope"),
         F.regr_intercept(F.col(y), F.col(x)).alias("intercept"),
-    ).withColumn("t", t)
+    ).withColumns({"t": t, "p_value": correlation_p_value(r, n)})
+
+
+def correlation_p_value(r: Column, n: Column, steps: int = 20_000) -> Column:
+    """Two-sided p-value of a correlation over ``n`` rows; null below three rows.
+
+    The share of the integral of sin(u) ** (n - 3) up to asin(sqrt(1 - r * r)) in that up to a right angle, both
+    by Simpson's rule.
+    """
+
+    def integral(upper: Column) -> Column:
+        def density(i: Column) -> Column:
+            return F.pow(F.sin(upper * i / steps), n - 3)
+
+        inner = F.aggregate(
+            F.sequence(F.lit(1), F.lit(steps - 1)), F.lit(0.0), lambda total, i: total + F.when(i % 2 == 1, 4.0).otherwise(2.0) * density(i)
+        )
+        return (density(F.lit(0)) + inner + density(F.lit(steps))) * upper
+
+    upper = F.asin(F.sqrt(F.greatest(1 - r * r, F.lit(0.0))))
+    return F.when(n > 2, integral(upper) / integral(F.lit(math.pi / 2)))
 
 
 def pearson_p_value(r: float, n: int) -> float:

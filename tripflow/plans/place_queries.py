@@ -141,17 +141,23 @@ def poi_demand_corr(spark, sf):
 R_SQL = "CASE WHEN var_pop(total_poi_density) > 0 AND var_pop(avg_daily_pickups) > 0 THEN corr(total_poi_density, avg_daily_pickups) END"
 
 
+def simpson_sql(upper):
+    inner = f"list_sum(list_transform(range(1, 2000), lambda i: CASE WHEN i % 2 = 1 THEN 4.0::DOUBLE ELSE 2.0::DOUBLE END * pow(sin({upper} * i / 2000), n - 3)))"
+    return f"({upper} * (pow(0, n - 3) + {inner} + pow(sin({upper}), n - 3)))"
+
+
 @register(
     "poi_regression",
     query(
-        f"SELECT count(*) AS n, {r(f'({R_SQL})', 6)} AS r, {r('regr_slope(avg_daily_pickups, total_poi_density)', 6)} AS slope, {r('regr_intercept(avg_daily_pickups, total_poi_density)', 4)} AS intercept, "
-        f"{r(f'({R_SQL}) * sqrt((count(*) - 2) / (1 - ({R_SQL}) * ({R_SQL})))', 5)} AS t FROM poi_demanded",
+        f"SELECT n, {r('r', 6)} AS r, {r('slope', 6)} AS slope, {r('intercept', 4)} AS intercept, {r('t', 5)} AS t, {r(simpson_sql('asin(sqrt(1 - r * r))') + ' / ' + simpson_sql('(pi() / 2)'), 6)} AS p_value FROM ("
+        f"SELECT count(*) AS n, ({R_SQL}) AS r, regr_slope(avg_daily_pickups, total_poi_density) AS slope, regr_intercept(avg_daily_pickups, total_poi_density) AS intercept, "
+        f"({R_SQL}) * sqrt((count(*) - 2) / (1 - ({R_SQL}) * ({R_SQL}))) AS t FROM poi_demanded)",
         POI_DEMAND,
     ),
 )
 def poi_regression(spark, sf):
     df = stats.regression_line(poi_demand_table(spark, sf), "total_poi_density", "avg_daily_pickups")
-    return rounded(df.withColumn("n", F.col("n").cast("bigint")), r=6, slope=6, intercept=4, t=5)
+    return rounded(df.withColumn("n", F.col("n").cast("bigint")), r=6, slope=6, intercept=4, t=5, p_value=6)
 
 
 # ---- outlines ---------------------------------------------------------------
