@@ -51,7 +51,7 @@ def regression_line(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def correlation_p_value(r: Column, n: Column, steps: int = 20_000) -> Column:
-    """Two-sided p-value of a correlation over ``n`` rows; null below three rows.
+    """Two-sided p-value of a correlation over ``n`` rows; null without r or below three rows.
 
     The share of the integral of sin(u) ** (n - 3) up to asin(sqrt(1 - r * r)) in that up to a right angle, both
     by Simpson's rule.
@@ -67,7 +67,7 @@ def correlation_p_value(r: Column, n: Column, steps: int = 20_000) -> Column:
         return (density(F.lit(0)) + inner + density(F.lit(steps))) * upper
 
     upper = F.asin(F.sqrt(F.greatest(1 - r * r, F.lit(0.0))))
-    return F.when(n > 2, integral(upper) / integral(F.lit(math.pi / 2)))
+    return F.when((n > 2) & r.isNotNull(), integral(upper) / integral(F.lit(math.pi / 2)))
 
 
 def pearson_p_value(r: float, n: int) -> float:
