@@ -144,3 +144,22 @@ def test_written_steps_replace_older_ones(spark):
     old = written[0]
     second = sinks.land(first.withColumn("x", F.col("id") * 2), "step", written)
     assert not os.path.exists(old) and second.count() == 3 and len(written) == 1
+
+
+def test_stored_models_are_read_in_a_new_session(spark, rows, weights):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    from tripflow.operators import models
+
+    path = shared_folder(spark, "models")
+    model = forecast.fit_graph(rows, weights)
+    forecast.save_graph(model, f"{path}/graph")
+    pipeline = Pipeline(stages=[VectorAssembler(inputCols=["pickups"], outputCol="features")]).fit(rows)
+    models.save_model(pipeline, f"{path}/ml", "1")
+    other = spark.newSession()
+    again = forecast.load_graph(other, f"{path}/graph")
+    assert (again.own, again.near) == (model.own, model.near) and again.profile.count() == len(NEIGHBOURS)
+    assert models.load_model(f"{path}/ml", "1").transform(rows).where("features is null").isEmpty()
+    with pytest.raises(Exception, match="exists"):
+        models.save_model(pipeline, f"{path}/ml", "1")
