@@ -319,6 +319,40 @@ def zone_geometry_stats(spark, sf):
     return rounded(spatial.geometry_stats(parcels(spark, sf)), length=6, area=6, centroid_x=6, centroid_y=6)
 
 
+# Lambert conic with two parallels on the ellipsoid of 1980, in survey feet: the Long Island zone of the state plane.
+PLANE = {
+    "ellipsoid": "SELECT sqrt(2 / 298.257222101 - 1 / pow(298.257222101, 2)) AS e, radians(41 + 2 / 60.0::DOUBLE) AS p1, radians(40 + 40 / 60.0::DOUBLE) AS p2, radians(40 + 10 / 60.0::DOUBLE) AS p0",
+    "cone": "SELECT e, n, m1 / (n * pow(t1, n)) * 6378137 AS big, m1 / (n * pow(t1, n)) * 6378137 * pow(t0, n) AS rho0 FROM (SELECT *, (ln(m1) - ln(m2)) / (ln(t1) - ln(t2)) AS n FROM (SELECT e, "
+    + ", ".join(f"cos(p{i}) / sqrt(1 - pow(e * sin(p{i}), 2)) AS m{i}" for i in (1, 2))
+    + ", "
+    + ", ".join(f"tan(pi() / 4 - p{i} / 2) / pow((1 - e * sin(p{i})) / (1 + e * sin(p{i})), e / 2) AS t{i}" for i in (0, 1, 2))
+    + " FROM ellipsoid))",
+    "degrees_of": "SELECT c_custkey AS id, i, -74.1 + (c_custkey % 40 + CASE WHEN i IN (1, 2) THEN 1 ELSE 0 END) / 100.0::DOUBLE AS lon, 40.4 + (c_custkey // 40 + CASE WHEN i IN (2, 3) THEN 1 ELSE 0 END) / 100.0::DOUBLE AS lat FROM customer, range(0, 4) one(i)",
+    "feet": "SELECT id, i, (rho * sin(n * radians(lon + 74)) + 300000) * 3937 / 1200 AS x, (rho0 - rho * cos(n * radians(lon + 74))) * 3937 / 1200 AS y FROM ("
+    "SELECT *, big * pow(tan(pi() / 4 - radians(lat) / 2) / pow((1 - e * sin(radians(lat))) / (1 + e * sin(radians(lat))), e / 2), n) AS rho FROM degrees_of, cone)",
+}
+
+
+@register(
+    "zone_sizes",
+    query(
+        f"SELECT a.id, {r('sum(sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2))) / 5280', 5)} AS length_miles, {r('sum(a.x * b.y - b.x * a.y) / 2 / 5280 / 5280', 4)} AS area_miles2, "
+        f"{r('avg(a.lon)', 3)} AS lon, {r('avg(a.lat)', 3)} AS lat "
+        "FROM (SELECT feet.*, lon, lat FROM feet JOIN degrees_of USING (id, i)) a JOIN feet b ON b.id = a.id AND b.i = (a.i + 1) % 4 GROUP BY 1",
+        PLANE,
+    ),
+)
+def zone_sizes(spark, sf):
+    """A box of a hundredth of a degree per customer, measured in the state plane."""
+    k = F.col("c_custkey")
+    x, y = k % 40, F.floor(k / 40)
+    corners = [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
+    points = [F.concat_ws(" ", (F.lit(-74.1) + (x + a) / 100).cast("string"), (F.lit(40.4) + (y + b) / 100).cast("string")) for a, b in corners]
+    wkt = F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *points), F.lit("))"))
+    sizes = spatial.zone_sizes(inputs.table(spark, sf, "customer").select(k.alias("id"), wkt.alias("geometry")))
+    return rounded(sizes.select("id", "length_miles", "area_miles2", "lon", "lat"), length_miles=5, area_miles2=4, lon=3, lat=3)
+
+
 @register(
     "dissolve_edges",
     query(
