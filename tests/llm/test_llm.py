@@ -215,14 +215,58 @@ def test_decontamination_against_brute_force(spark, docs, empty):
     assert decontamination.find_contamination(docs, benchmark.where("false")).count() == 0
 
 
-def test_block_bounds_lose_no_item():
+def index_of(items):
+    bags = [set(decontamination.words_of(text)) for _, text in items]
+    frequency = Counter(word for bag in bags for word in bag)
+    mean = sum(len(decontamination.words_of(text)) for _, text in items) / len(items)
+    return decontamination.Index(items, frequency, len(items), mean)
+
+
+@pytest.mark.parametrize("pivot", [0, 0.25, 1])
+def test_block_bounds_lose_no_item(monkeypatch, pivot):
+    monkeypatch.setattr(decontamination, "PIVOT", pivot)
+    monkeypatch.setattr(decontamination, "GROUP_WORDS", 128)
     draw = np.random.default_rng(4)
-    index = decontamination.Index([(i, " ".join(f"v{j}" for j in draw.integers(0, 60, 20))) for i in range(70)])
-    for _ in range(30):
-        terms = np.unique(draw.integers(0, len(index.terms), 35))
-        at = index._postings(terms, index.starts)
-        score = np.bincount(index.items[at], index.weights[at], 70)
-        assert [item for item, _ in index.retrieve(terms, 0.5)] == list(np.flatnonzero(score >= 0.5 - 1e-9))
+    items = [(i, " ".join(f"v{j}" for j in draw.integers(0, 60, 20 if i % 7 else 100))) for i in range(70)]
+    index = index_of(items)
+    assert [group.step for group in index.groups] == [64, 128]
+    texts = [[f"v{j}" for j in draw.integers(0, 70, size)] for size in (0, 3, 60, 200, 900)]
+    got = {
+        (text, first, group.ids[item]): round(score, 9)
+        for text, first, group, item, score in index.search(texts, 0.4)
+    }
+    n, bags = len(items), [Counter(text.split()) for _, text in items]
+    mean = sum(bag.total() for bag in bags) / n
+    want = {}
+    for item, bag in enumerate(bags):
+        weight = {}
+        for word, tf in bag.items():
+            df = sum(word in other for other in bags)
+            weight[word] = np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * bag.total() / mean))
+        step = 64 if bag.total() <= 64 else 128
+        for text, words in enumerate(texts):
+            for first in range(0, max(1, len(words) - step), step):
+                held = set(words[first : first + 2 * step])
+                score = sum(value for word, value in weight.items() if word in held) / sum(weight.values())
+                if score >= 0.4:
+                    want[text, first, item] = round(score, 9)
+    assert want and got == want
+
+
+def test_scores_do_not_depend_on_the_parts_of_the_index(spark):
+    draw = np.random.default_rng(6)
+    words = [f"v{i}" for i in range(200)]
+    items = [(i, " ".join(draw.choice(words, 30 + 10 * (i % 9))) + ". The end is near.") for i in range(60)]
+    items += [items[0], (7, "another text under one id. Yes it is.")]
+    texts = [(i, " ".join(draw.choice(words, 100)) + " " + items[i][1] + " " + " ".join(draw.choice(words, 300))) for i in range(20)]
+    table = spark.createDataFrame(texts + [(None, items[3][1]), (5, "clean words under a used id")], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    one = decontamination.find_contamination(table, benchmark).collect()
+    some = decontamination.find_contamination(table, benchmark, index_bytes=4000).collect()
+    assert sorted(map(str, one)) == sorted(map(str, some))
+    assert {(r.doc_id, r.item_id) for r in one} == {(i, i) for i in range(20)} | {(None, 3)}
+    rest = decontamination.remove_contaminated(table, benchmark).collect()
+    assert [(r.doc_id, r.text) for r in rest] == [(5, "clean words under a used id")]
 
 
 def test_pii_spans(docs, empty):
