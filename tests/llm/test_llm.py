@@ -326,6 +326,32 @@ def test_near_duplicates_of_a_crowded_template(spark):
     assert got == {doc: partner.get(doc, doc) for doc, _ in rows}
 
 
+def test_near_duplicates_link_null_and_repeated_ids(spark):
+    draw = np.random.default_rng(12)
+    w, v = ([f"{name}{i}" for i in draw.permutation(300)] for name in "wv")
+    rows = [(1, w), (1, v), (2, [*w, "x"]), (3, [*v, "y"]), (None, [*w, "z"]), (None, ["alone"] * 9), (None, ["alone"] * 9), (5, [])]
+    table = spark.createDataFrame([(doc, " ".join(words)) for doc, words in rows], "doc_id long, text string")
+    got = near_dup.near_duplicates(table, 80).select("doc_id", "component_id", "kept").collect()
+    want = [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 1, False), (None, None, True), (None, None, True), (5, 5, True)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_regions_do_not_depend_on_batches(spark):
+    draw = np.random.default_rng(13)
+    signatures = [draw.integers(0, 3, near_dup.TREES * near_dup.DEPTH).astype(">u4").tobytes() for _ in range(120)]
+    table = spark.createDataFrame(list(enumerate(signatures)), "doc_id long, signature binary").coalesce(1)
+    results = []
+    for size in ("10000", "1", "3"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        try:
+            results.append(sorted(map(tuple, near_dup.region_rows(table).collect())))
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert results[0] == results[1] == results[2] and len(results[0]) > 100
+
+
 @pytest.mark.parametrize("group_rows", [4000, 3])
 def test_crowd_pairs_lose_no_link(spark, monkeypatch, group_rows):
     monkeypatch.setattr(near_dup, "GROUP_ROWS", group_rows)
@@ -338,7 +364,7 @@ def test_crowd_pairs_lose_no_link(spark, monkeypatch, group_rows):
         texts.append((i, " ".join(words)))
     table = spark.createDataFrame(texts, "doc_id long, text string")
     crowd = table.select("doc_id", F.col("doc_id").alias("component"))
-    words = near_dup.packed_words(table, crowd.select("doc_id"))
+    words = near_dup.packed_words(table, near_dup.keyed(table).select("doc_id", "row_key"))
     for percent in (80, 85):
         links = near_dup.confirm(near_dup.crowd_pairs(crowd, words, percent), words, percent).collect()
         sets = [set(near_dup.shingle_set(text).tolist()) for _, text in texts]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import xxhash
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripflow.session import shared_folder
+from tripflow.sources.sinks import delete_folder
 
 #: Characters that a Python ``\s`` matches and the tokenizers' ``\s`` does not.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
@@ -17,6 +19,8 @@ ODD_SPACE = "\x1c\x1d\x1e\x1f"
 PLAIN = re.compile("( ?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@[-`{-~]*)")
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
+#: Where each landed table lies.
+FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def land(df: DataFrame, name: str) -> DataFrame:
@@ -24,7 +28,17 @@ def land(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    landed = spark.read.schema(df.schema).parquet(path)
+    FOLDERS[landed] = path
+    return landed
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete landed tables that no frame still to be evaluated reads; anything else is left alone."""
+    for table in tables:
+        path = FOLDERS.pop(table, None) if table is not None else None
+        if path:
+            delete_folder(table.sparkSession, path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

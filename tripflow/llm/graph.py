@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripflow.llm.common import land
+from tripflow.llm.common import drop, land
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,7 +31,9 @@ def components(links: DataFrame) -> DataFrame:
             .unionByName(least.withColumnRenamed("low", "v"))
             .distinct()
         )
-        edges = land(small, "stars")
+        stars = land(small, "stars")
+        drop(edges)
+        edges = stars
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             break

@@ -10,8 +10,12 @@ for the documents of larger regions with several components an exact search (``c
 So a link is missed only if its documents share no region in any order. Every candidate is
 confirmed on the full shingle sets, so a reported link is always right.
 
+The search knows different sets by a number of their own, so ids need not be unique: rows with a null id and
+different texts under one id are compared like all others.
+
 Defined cases: null or blank texts have no shingles and no links; repeated rows count as copies
-(each gives a row); ties go to the smallest id; other columns are ignored; an empty table gives no rows.
+(each gives a row); ties go to the smallest id; null ids come last, so a component of null ids alone has none;
+other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripflow.llm.common import id_and_text, land, seeded, shingle_hashes, word_hashes
+from tripflow.llm.common import drop, land, seeded, shingle_hashes, word_hashes
 from tripflow.llm.graph import components
 
 TREES = 16
@@ -36,7 +40,7 @@ SAMPLE = 20_000
 FREQUENT = 100_000
 GROUP_ROWS = 4_000
 MULTIPLIERS = seeded(TREES * DEPTH, 7)[:, None]
-FEATURES = "doc_id long, n_shingles long, set_key binary, signature binary"
+FEATURES = "doc_id long, row_key binary, n_shingles long, set_key binary, signature binary"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -60,52 +64,70 @@ def signature(shingles: np.ndarray) -> bytes:
     return (lowest >> np.uint64(32)).astype(">u4").tobytes()
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (a null text is empty) and a hash of both as the key of equal rows."""
+    text = F.coalesce("text", F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
+    row_key = F.unhex(F.md5(F.concat_ws(" ", F.coalesce(doc_id.cast("string"), F.lit("none")), F.md5(text))))
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), row_key.alias("row_key"))
+
+
 def features(docs: DataFrame) -> DataFrame:
     def rows(batches):
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for text in batch["text"]:
                 found = shingle_set(text)
                 key = xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
-                out.append((doc_id, len(found), key, signature(found) if len(found) else None))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_key", "signature"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
+                out.append((len(found), key, signature(found) if len(found) else None))
+            frame = pd.DataFrame(out, columns=["n_shingles", "set_key", "signature"])
+            frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
+            frame.insert(1, "row_key", batch["row_key"].to_numpy())
             yield frame
 
-    return id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(rows, FEATURES)
+    return keyed(docs).mapInPandas(rows, FEATURES)
 
 
 def region_rows(distinct: DataFrame) -> DataFrame:
-    """Rows (tree, region, doc_id, next) of every sorted order that share a region with a neighbour."""
+    """Rows (tree, region, doc_id, next, common) of every sorted order that share a region with a neighbour.
 
-    def neighbours(batches):
-        frames = [batch for batch in batches if len(batch)]
-        if not frames:
-            return
-        rows = pd.concat(frames, ignore_index=True)
+    ``common`` counts the leading values shared with the next row. The first and last rows of a task always
+    stay, as their regions may go on in other tasks. A task holds one batch at a time.
+    """
+
+    def found(rows: pd.DataFrame, first: bool, last: bool) -> pd.DataFrame:
+        """The rows but the first, which the batch before gave, and but the last, which the next batch gives."""
         bands = np.frombuffer(b"".join(rows["band"]), ">u4").reshape(len(rows), DEPTH)
-        trees = rows["tree"].to_numpy()
+        trees, ids = rows["tree"].to_numpy(), rows["doc_id"].to_numpy()
         same = np.concatenate([trees[1:, None] == trees[:-1, None], bands[1:] == bands[:-1]], axis=1)
-        common = np.cumprod(same, axis=1).sum(axis=1) - 1  # -1: another order
+        common = np.append(np.cumprod(same, axis=1).sum(axis=1) - 1, -1)  # -1: another order
         joined = common >= LEAST
-        start = np.flatnonzero(np.concatenate([[True], ~joined]))
-        sizes = np.diff(np.append(start, len(rows)))
-        size = np.repeat(sizes, sizes)
-        depth = np.clip(LEAST + np.floor(np.log2(np.maximum(size, CROWD) / CROWD)), LEAST, DEPTH)
-        ids = rows["doc_id"].to_numpy()
-        follows = np.append(joined & (common >= depth[1:]), False)
-        # The first and last region may go on in the next task, so their rows always stay.
-        keep = (size > 1) | (np.arange(len(rows)) < sizes[0]) | (np.arange(len(rows)) >= start[-1])
-        yield pd.DataFrame(
+        keep = joined | np.append([first], joined[:-1])
+        keep[-1] |= last
+        place = np.flatnonzero(keep[0 if first else 1 : None if last else -1]) + (0 if first else 1)
+        return pd.DataFrame(
             {
-                "tree": trees[keep],
-                "region": [xxhash.xxh3_64_intdigest(band[: 4 * LEAST]) - (1 << 63) for band in rows["band"][keep]],
-                "doc_id": ids[keep],
-                "next": pd.array(np.append(ids[1:], 0), "Int64").copy()[keep],
-                "linked": follows[keep],
+                "tree": trees[place],
+                "region": [xxhash.xxh3_64_intdigest(band[: 4 * LEAST]) - (1 << 63) for band in rows["band"].iloc[place]],
+                "doc_id": ids[place],
+                "next": np.append(ids[1:], 0)[place],
+                "common": common[place],
             }
         )
 
+    def neighbours(batches):
+        held, first = None, True
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if len(rows) > 2:
+                yield found(rows, first, False)
+                rows, first = rows.iloc[-2:], False
+            held = rows.reset_index(drop=True)
+        if held is not None:
+            yield found(held, first, True)
+
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)),
         lambda tree: F.struct(tree.alias("tree"), F.substring("signature", tree * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("band")),
@@ -116,7 +138,7 @@ def region_rows(distinct: DataFrame) -> DataFrame:
         .repartitionByRange("tree", "band", "doc_id")
         .sortWithinPartitions("tree", "band", "doc_id")
     )
-    return ordered.mapInPandas(neighbours, "tree int, region long, doc_id long, next long, linked boolean")
+    return ordered.mapInPandas(neighbours, "tree int, region long, doc_id long, next long, common long")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -145,7 +167,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def packed_words(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Per document: doc_id, size of its set, its words compressed."""
+    """For each of ``ids`` (doc_id, row_key): doc_id, size of the set, words compressed, of the row with that key."""
 
     def rows(batches):
         squeeze = zstandard.ZstdCompressor(level=3).compress
@@ -159,7 +181,8 @@ def packed_words(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 }
             )
 
-    return id_and_text(docs).join(ids, "doc_id", "left_semi").mapInPandas(rows, "doc_id long, n long, words binary")
+    texts = keyed(docs).select("row_key", "text").join(ids, "row_key").dropDuplicates(["row_key"])
+    return texts.select("doc_id", "text").mapInPandas(rows, "doc_id long, n long, words binary")
 
 
 def ordered_pairs(pairs: DataFrame) -> DataFrame:
@@ -175,7 +198,9 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     )
     roots = components(mapped).withColumnRenamed("component", "root")
     joined = labels.join(roots, labels["component"] == roots["node"], "left")
-    return land(joined.select("doc_id", F.coalesce("root", "component").alias("component")), "labels")
+    merged = land(joined.select("doc_id", F.coalesce("root", "component").alias("component")), "labels")
+    drop(labels)
+    return merged
 
 
 def open_regions(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -257,10 +282,26 @@ def crowd_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pd.concat(frames, ignore_index=True)
 
     def pairs(batches):
-        frames = [batch for batch in batches if len(batch)]
-        if not frames:
-            return
-        table = pd.concat(frames, ignore_index=True)
+        """Whole groups as they come sorted; the last one of a batch waits for the next batch."""
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = batch[["shingle", "slot"]].iloc[-1]
+            open_rows = ((batch["shingle"] == last["shingle"]) & (batch["slot"] == last["slot"])).to_numpy()
+            if not open_rows.all():
+                yield from group_pairs(pd.concat([*held, batch[~open_rows]], ignore_index=True))
+                held = []
+            elif held:
+                before = held[-1][["shingle", "slot"]].iloc[-1]
+                if (before["shingle"], before["slot"]) != (last["shingle"], last["slot"]):
+                    yield from group_pairs(pd.concat(held, ignore_index=True))
+                    held = []
+            held.append(batch[open_rows])
+        if held:
+            yield from group_pairs(pd.concat(held, ignore_index=True))
+
+    def group_pairs(table):
         table = table[table.duplicated(["shingle", "slot"], keep=False)]
         if not len(table):
             return
@@ -292,17 +333,21 @@ def crowd_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             start = stop
 
     schema = "shingle long, slot long, chunk long, mixed boolean, doc_id long, component long, n long, rest long"
-    dealt = held.mapInPandas(rows, schema).repartition("shingle", "slot")
+    dealt = held.mapInPandas(rows, schema).repartition("shingle", "slot").sortWithinPartitions("shingle", "slot")
     return ordered_pairs(dealt.mapInPandas(pairs, "a long, b long"))
 
 
 def link_regions(docs: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
-    """Component of every document with a region: doc_id, component."""
-    members = land(region_rows(distinct), "regions")
-    size = members.groupBy("tree", "region").agg(F.count("*").alias("size")).where("size > 1")
-    members = land(members.join(size, ["tree", "region"]), "members")
+    """Component of every set with a region: doc_id, component, from ``distinct`` (doc_id, row_key, signature)."""
+    rows = land(region_rows(distinct.select("doc_id", "signature")), "regions")
+    size = rows.groupBy("tree", "region").agg(F.count("*").alias("size")).where("size > 1")
+    # A region asks for one more common value per doubling beyond CROWD.
+    depth = F.least(F.lit(DEPTH), LEAST + F.floor(F.log2(F.greatest("size", F.lit(CROWD)) / CROWD)))
+    members = land(rows.join(size, ["tree", "region"]).withColumn("linked", F.col("common") >= depth).drop("common"), "members")
+    drop(rows)
     central = members.groupBy("doc_id").agg(F.sum("size").alias("central"))
-    sets = land(packed_words(docs, central.select("doc_id")).dropDuplicates(["doc_id"]), "sets")
+    ids = distinct.select("doc_id", "row_key").join(central, "doc_id", "left_semi")
+    sets = land(packed_words(docs, ids), "sets")
     labels = central.select("doc_id", F.col("doc_id").alias("component"))
     near = members.where("linked").select(F.least("doc_id", "next").alias("a"), F.greatest("doc_id", "next").alias("b"))
     near = land(near.groupBy("a", "b").agg(F.count("*").alias("orders")), "neighbours")
@@ -312,7 +357,9 @@ def link_regions(docs: DataFrame, distinct: DataFrame, percent: int) -> DataFram
     best = sides.groupBy("doc_id").agg(F.max(F.struct("orders", -F.col("a"), -F.col("b"), "a", "b")).alias("best"))
     first = best.select("best.a", "best.b").distinct()
     labels = relabel(labels, confirm(first, sets, percent))
-    members = land(members.join(central, "doc_id").select("tree", "region", "doc_id", "central"), "central")
+    placed = land(members.join(central, "doc_id").select("tree", "region", "doc_id", "central"), "central")
+    drop(members, near)
+    members = placed
     used = None
     while True:
         placed = members.join(labels, "doc_id")
@@ -333,8 +380,10 @@ def link_regions(docs: DataFrame, distinct: DataFrame, percent: int) -> DataFram
         if links.isEmpty():
             break
         heads = heads.select(F.col("head").alias("doc_id")).distinct()
-        used = land(heads if used is None else heads.unionByName(used).distinct(), "heads")
+        tried = land(heads if used is None else heads.unionByName(used).distinct(), "heads")
         labels = relabel(labels, links)
+        drop(used, tries, links)
+        used = tried
     placed, regions = open_regions(members, labels)
     few = land(placed.join(regions.where(f"size <= {CROWD}"), ["tree", "region"]).drop("size", "central"), "few")
     other = few.select("tree", "region", F.col("doc_id").alias("b"), F.col("component").alias("its"))
@@ -348,16 +397,15 @@ def link_regions(docs: DataFrame, distinct: DataFrame, percent: int) -> DataFram
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     found = land(features(docs), "features")
-    groups = land(
-        found.where("set_key is not null")
-        .groupBy("set_key")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")),
-        "distinct",
-    )
-    labels = link_regions(docs, groups.where("doc_id is not null").select("doc_id", "signature"), percent)
-    classes = groups.select("set_key", "doc_id").join(labels, "doc_id", "left")
-    classes = classes.select("set_key", F.coalesce("component", "doc_id").alias("component_id"))
+    groups = found.where("set_key is not null").groupBy("set_key")
+    groups = groups.agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.first("signature").alias("signature"))
+    groups = land(groups.withColumn("doc_id", F.monotonically_increasing_id()), "distinct")
+    labels = link_regions(docs, groups.select("doc_id", "row_key", "signature"), percent)
+    classes = groups.select("set_key", "doc_id", "least").join(labels, "doc_id", "left")
+    classes = classes.select("set_key", "least", F.coalesce("component", "doc_id").alias("class"))
+    smallest = classes.groupBy("class").agg(F.min("least").alias("component_id"))
+    classes = classes.select("set_key", "class").join(smallest, "class").drop("class")
     whole = found.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
-    return whole.select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
-    ).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    whole = whole.select("doc_id", "n_shingles", component.alias("component_id"))
+    return whole.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
