@@ -453,3 +453,23 @@ def test_html_keeps_what_follows_unclosed_and_empty_elements():
     assert html_text.main_text(f"<div class='page has-sidebar'>{article % ''}</div>") == whole
     assert html_text.main_text(article % "<div class=post-header>Its own header</div>") == f"{first}\n\nIts own header\n\n{second}"
     assert html_text.main_text(f"<article><p>a <svg><path/></svg> b {first}</p></article>") == f"a b {first}"
+
+
+def test_license_terms_weigh_by_all_documents(spark):
+    line = "released under the mit license today everywhere"
+    for spread in (0, 60):
+        others = [(10 + i, "s", "today everywhere" if i < spread else "other words") for i in range(60)]
+        table = spark.createDataFrame([(1, "s", line), *others], "doc_id long, source string, text string")
+        found = licenses.scan(table, F.col("source")).where("doc_id = 1").collect()[0]
+        # Words that every document has weigh less, so the same line comes nearer to the template.
+        n, df = 61, {"released": 1, "under": 1, "the": 1, "mit": 1, "license": 1, "today": 1 + spread, "everywhere": 1 + spread}
+        weights = {term: licenses.idf(count, n) for term, count in df.items()}
+        cosine = (sum(w * w for t, w in weights.items() if t not in ("today", "everywhere")) / sum(w * w for w in weights.values())) ** 0.5
+        assert found.license == "MIT" and abs(found.cosine - cosine) < 1e-8
+
+
+def test_license_terms_are_cut_as_in_the_templates(spark):
+    texts = ["", ".", ".a", "a.", "a.b", "a..b", "-a-b-", "by-nc 4.0.", "é.a", "a.é", "a\n.b", "v. 2.0 (the \"l\");", "a.-b", "a-", "\n-\na.b.c--d", "x\U0001f600.y"]
+    frame = spark.createDataFrame([(text,) for text in texts], "text string")
+    for row in frame.select("text", licenses.terms_column(F.col("text")).alias("terms")).collect():
+        assert row.terms == licenses.terms_of(row.text), row.text

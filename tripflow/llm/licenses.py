@@ -1,8 +1,7 @@
 """License scans, in SQL functions only.
 
 A line of a text is a header if the cosine of its sparse TF-IDF vector to a template reaches ``COSINE``. Document
-frequencies are counted over all documents, for the templates' terms; a term outside them weighs as one
-that a single document has. A line can only reach the cosine if it holds one of the template's ``required``
+frequencies are those of every term over all documents, on the lines as in the templates. A line can only reach the cosine if it holds one of the template's ``required``
 terms (without them too little of the template's norm is left), so other lines are never taken apart.
 
 A document whose licence lines hold at least ``FILE_SHARE`` per cent of its words is a licence file and speaks for its
@@ -51,7 +50,8 @@ TEMPLATES = (
 )
 #: Terms are runs of letters and digits, with inner points and hyphens (``2.0``, ``by-nc``).
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
-SPLIT = r"[^a-z0-9.-]+|[.-]+(?![a-z0-9])|(?<![a-z0-9])[.-]+"
+# A separator starts with no letter or digit; a single point or hyphen between two of them is none.
+SPLIT = r"[^a-z0-9](?:[^a-z0-9]++|(?<![.-])|(?![a-z0-9])|(?<![a-z0-9].))"
 
 
 def terms_of(text: str) -> list[str]:
@@ -87,35 +87,32 @@ def required_terms(vector: dict[str, float], cosine: float = COSINE) -> list[str
     return chosen
 
 
-def document_frequency(docs: DataFrame, templates=TEMPLATES) -> tuple[dict[str, int], int]:
-    """Documents that hold each template term, and all documents."""
+def document_frequency(terms: DataFrame) -> DataFrame:
+    """Documents that hold each term: term, documents. ``terms``: the distinct terms of each document."""
+    return terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("documents"))
+
+
+def template_frequency(frequency: DataFrame, templates=TEMPLATES) -> dict[str, int]:
+    """Those of the template terms, a fixed number."""
     vocabulary = sorted({term for _, text in templates for term in terms_of(text)})
-    wanted = F.array(*map(F.lit, vocabulary))
-    held = F.array_intersect(terms_column(F.coalesce("text", F.lit(""))), wanted)
-    # The empty string stands for the document itself, so one pass gives both counts.
-    counted = docs.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("term")).groupBy("term").count()
-    counts = {row["term"]: row["count"] for row in counted.collect()}
-    return counts, counts.pop("", 0)
+    return {row["term"]: row["documents"] for row in frequency.where(F.col("term").isin(vocabulary)).collect()}
 
 
-def header_lines(docs: DataFrame, frequency: dict[str, int], documents: int, cosine: float = COSINE) -> DataFrame:
+def header_lines(docs: DataFrame, frequency: DataFrame, documents: int, cosine: float = COSINE) -> DataFrame:
     """row, line, words, name and cosine of the best template of every line that reaches ``cosine``.
 
-    ``docs``: row, text. The tables of templates and term weights have a fixed size.
+    ``docs``: row, text. ``frequency``: term, documents. The table of templates has a fixed size.
     """
     spark = docs.sparkSession
-    weights = vectors(frequency, documents)
+    weights = vectors(template_frequency(frequency), documents)
     needed = sorted({term for _, _, vector in weights for term in required_terms(vector, cosine)})
     # Longer terms first, so that the alternation does not stop at a part of a term.
     needed.sort(key=len, reverse=True)
     pattern = "(?<![a-z0-9])(?:" + "|".join(map(re.escape, needed)) + ")(?![a-z0-9])"
-    vocabulary = sorted({term for _, _, vector in weights for term in vector})
     table = spark.createDataFrame(
         [(name, number, term, weight) for name, number, vector in weights for term, weight in vector.items()],
         "name string, template int, term string, weight double",
     )
-    rare = idf(1, documents)
-    own = spark.createDataFrame([(term, idf(frequency.get(term, 0), documents)) for term in vocabulary], "term string, idf double")
     lines = (
         docs.where(F.lower("text").rlike(pattern))
         .select("row", F.posexplode(F.split("text", "\n")).alias("line", "body"))
@@ -123,7 +120,8 @@ def header_lines(docs: DataFrame, frequency: dict[str, int], documents: int, cos
     )
     terms = lines.select("row", "line", F.explode(terms_column(F.col("body"))).alias("term"))
     counted = terms.groupBy("row", "line", "term").agg(F.count("*").alias("n"))
-    weighed = counted.join(F.broadcast(own), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(rare)))
+    weight = F.log((1 + F.lit(documents)) / (1 + F.coalesce("documents", F.lit(0)))) + 1
+    weighed = counted.join(frequency, "term", "left").withColumn("w", F.col("n") * weight)
     norms = weighed.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("n").alias("words"))
     dots = (
         weighed.join(F.broadcast(table), "term")
@@ -155,20 +153,23 @@ def scan(docs: DataFrame, path: Column, file_share: int = FILE_SHARE) -> DataFra
     ``effective`` is the licence of the document or the one it inherits; ``from_doc`` and ``distance`` (levels up)
     say from where.
     """
-    frequency, documents = document_frequency(docs)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), text.alias("text")
     ).withColumn("row", F.monotonically_increasing_id())
-    found = header_lines(rows.select("row", "text"), frequency, documents)
+    words = F.when(F.trim("text") == "", 0).otherwise(F.size("all"))
+    plain = rows.withColumn("all", terms_column(F.col("text"))).select(
+        "row", "doc_id", "path", words.cast("long").alias("n_words"), F.array_distinct("all").alias("terms")
+    )
+    plain = land(plain, "terms")
+    frequency = land(document_frequency(plain), "frequency")
+    found = header_lines(rows.select("row", "text"), frequency, plain.count())
     own = found.groupBy("row").agg(
         F.sum("words").alias("license_words"), F.min(F.struct(-F.col("cosine"), "name", "cosine")).alias("best")
     )
     own = own.select("row", "license_words", F.col("best.name").alias("license"), F.col("best.cosine").alias("cosine"))
-    words = F.when(F.trim("text") == "", 0).otherwise(F.size(terms_column(F.col("text"))))
-    plain = rows.select("row", "doc_id", "path", words.cast("long").alias("n_words"))
     judged = land(
-        plain.join(own, "row", "left")
+        plain.drop("terms").join(own, "row", "left")
         .withColumn("license_words", F.coalesce("license_words", F.lit(0)))
         .withColumn("is_file", F.col("license").isNotNull() & (100 * F.col("license_words") >= file_share * F.col("n_words"))),
         "licenses",
