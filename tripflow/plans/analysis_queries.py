@@ -35,7 +35,7 @@ def level_sql(column, prefix):
 
 @register("demand_share", query("SELECT * FROM demanded", SHARES))
 def demand_share(spark, sf):
-    return levels.demand_share(inputs.fhvhv_trips(spark, sf))
+    return levels.demand_share(inputs.fhvhv_rides(spark, sf))
 
 
 @register(
@@ -43,7 +43,7 @@ def demand_share(spark, sf):
     query(f"SELECT demanded.*, {level_sql('trip_number', 'n')} AS level, {level_sql('avg_demand', 'a')} AS avg_level FROM demanded, cuts", SHARES),
 )
 def demand_levels(spark, sf):
-    return levels.demand_levels(inputs.fhvhv_trips(spark, sf))
+    return levels.demand_levels(inputs.fhvhv_rides(spark, sf))
 
 
 SCALED = ["avg_tip_pct", "total_trips", "avg_daily_pickups", "median_fare"]
@@ -245,7 +245,8 @@ def stratified_sample_exact(spark, sf):
 # ---- lookups ----------------------------------------------------------------
 
 def demand(spark, sf):
-    return rollups.zone_demand(inputs.all_trips(spark, sf))
+    """The demand table that the lookups read, stored once."""
+    return inputs.landed(spark, sf, "zone_demand", lambda path: rollups.zone_demand(inputs.all_trips(spark, sf)).write.parquet(path))
 
 
 @register(

@@ -184,7 +184,7 @@ def multi_horizon_error_ml(spark, sf):
 VERSION = "graph-1"
 DAYS = {
     "yellow": (inputs.yellow_loaded, "2024-01-01", "2024-01-30"),
-    "fhvhv": (inputs.fhvhv_loaded, "2000-05-01", "2000-06-15"),
+    "fhvhv": (inputs.fhvhv_records, "2000-05-01", "2000-06-15"),
 }
 
 

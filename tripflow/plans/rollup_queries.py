@@ -90,7 +90,7 @@ def yearly_sql(trips, distance, extra):
     query(yearly_sql("fhvhv_trips", "trip_miles", f"{r('avg(company_fees)', 2)} AS avg_company_fees")),
 )
 def yearly_trend(spark, sf):
-    return rollups.yearly_trend(inputs.fhvhv_trips(spark, sf), FHVHV_CITY)
+    return rollups.yearly_trend(inputs.fhvhv_rides(spark, sf), FHVHV_CITY)
 
 
 @register(
@@ -118,7 +118,7 @@ def yearly_trend_green(spark, sf):
     ),
 )
 def monthly_trips(spark, sf):
-    return dates_as_text(rollups.monthly_trips(inputs.fhvhv_trips(spark, sf)), "date")
+    return dates_as_text(rollups.monthly_trips(inputs.fhvhv_rides(spark, sf)), "date")
 
 
 @register(
@@ -126,7 +126,7 @@ def monthly_trips(spark, sf):
     query(f"SELECT pickup_day_of_week, pickup_day_name, count(*) AS total_trips, {r('avg(total_amount)', 2)} AS avg_fare FROM fhvhv_trips GROUP BY 1, 2"),
 )
 def dow_demand(spark, sf):
-    return rollups.day_of_week(inputs.fhvhv_trips(spark, sf), FHVHV_CITY)
+    return rollups.day_of_week(inputs.fhvhv_rides(spark, sf), FHVHV_CITY)
 
 
 @register(
@@ -142,7 +142,7 @@ def hourly_demand(spark, sf):
     query(f"SELECT time_of_day, count(*) AS total_trips, {r('avg(total_amount)', 2)} AS avg_fare, {r('avg(wait_time / 60.0)', 2)} AS avg_wait_min FROM fhvhv_trips GROUP BY 1"),
 )
 def tod_demand(spark, sf):
-    return rollups.time_of_day_demand(inputs.fhvhv_trips(spark, sf), FHVHV_CITY)
+    return rollups.time_of_day_demand(inputs.fhvhv_rides(spark, sf), FHVHV_CITY)
 
 
 @register(
@@ -166,7 +166,7 @@ def heatmap_hour_dow(spark, sf):
     ),
 )
 def market_share(spark, sf):
-    return dates_as_text(rollups.market_share(inputs.fhvhv_trips(spark, sf)), "date")
+    return dates_as_text(rollups.market_share(inputs.fhvhv_rides(spark, sf)), "date")
 
 
 @register(
@@ -177,7 +177,7 @@ def market_share(spark, sf):
     ),
 )
 def wait_trend(spark, sf):
-    return rollups.wait_trend(inputs.fhvhv_trips(spark, sf))
+    return rollups.wait_trend(inputs.fhvhv_rides(spark, sf))
 
 
 @register(
@@ -185,7 +185,7 @@ def wait_trend(spark, sf):
     query("SELECT pickup_year, pickup_month, pickup_borough, count(*) AS trips FROM fhvhv_trips GROUP BY 1, 2, 3"),
 )
 def borough_monthly(spark, sf):
-    return rollups.borough_monthly(inputs.fhvhv_trips(spark, sf))
+    return rollups.borough_monthly(inputs.fhvhv_rides(spark, sf))
 
 
 @register(
@@ -226,7 +226,7 @@ def tips_monthly(spark, sf):
 
 @register("tips_monthly_fhvhv", query(tips_monthly_sql("fhvhv_trips", "tips", "base_passenger_fare")))
 def tips_monthly_fhvhv(spark, sf):
-    return rollups.tips_monthly(inputs.fhvhv_trips(spark, sf), FHVHV_CITY)
+    return rollups.tips_monthly(inputs.fhvhv_rides(spark, sf), FHVHV_CITY)
 
 
 @register(
@@ -234,7 +234,7 @@ def tips_monthly_fhvhv(spark, sf):
     query(f"SELECT pickup_year, pickup_month, company, {r('avg(tips)', 2)} AS avg_tip, {r('count(*) FILTER (WHERE tips > 0) / count(*) * 100', 1)} AS pct_tipped FROM fhvhv_trips GROUP BY 1, 2, 3"),
 )
 def tips_by_company(spark, sf):
-    return rollups.tips_by_company(inputs.fhvhv_trips(spark, sf), FHVHV_CITY)
+    return rollups.tips_by_company(inputs.fhvhv_rides(spark, sf), FHVHV_CITY)
 
 
 RANGE_5 = "CASE WHEN p < 5 THEN '0-5%' WHEN p < 10 THEN '5-10%' WHEN p < 15 THEN '10-15%' WHEN p < 20 THEN '15-20%' ELSE '20-25%' END"
@@ -262,7 +262,7 @@ def tip_dist(spark, sf):
 
 @register("tip_dist_fhvhv", query(tip_dist_sql("fhvhv_trips", "tips", "base_passenger_fare", RANGE_7, ORDER_7, False)))
 def tip_dist_fhvhv(spark, sf):
-    return rounded(tip_ranges.tip_distribution(inputs.fhvhv_trips(spark, sf), FHVHV_CITY), pct=6)
+    return rounded(tip_ranges.tip_distribution(inputs.fhvhv_rides(spark, sf), FHVHV_CITY), pct=6)
 
 
 @register(
@@ -273,7 +273,7 @@ def tip_dist_fhvhv(spark, sf):
     ),
 )
 def tip_pct_ranges(spark, sf):
-    ranged = tip_ranges.with_tip_pct_range(inputs.fhvhv_trips(spark, sf), FHVHV_CITY, bounded=False)
+    ranged = tip_ranges.with_tip_pct_range(inputs.fhvhv_rides(spark, sf), FHVHV_CITY, bounded=False)
     pct = F.col("tip_percentage")
     return ranged.groupBy("pickup_zone", "percentage_range").agg(
         F.count(F.lit(1)).alias("trips"),
@@ -344,7 +344,7 @@ def borough_hour(spark, sf):
     ),
 )
 def zone_period(spark, sf):
-    return rollups.zone_period(inputs.fhvhv_trips(spark, sf), "pickup", FHVHV_YEARS)
+    return rollups.zone_period(inputs.fhvhv_rides(spark, sf), "pickup", FHVHV_YEARS)
 
 
 WORK = "NOT pickup_is_weekend AND pickup_hour BETWEEN 6 AND 20 AND PULocationID NOT IN (1, 2, 3)"
@@ -360,7 +360,7 @@ WORK = "NOT pickup_is_weekend AND pickup_hour BETWEEN 6 AND 20 AND PULocationID
 def filter_work_time(spark, sf):
     parts = [
         quality.work_time(inputs.yellow_trips(spark, sf), YELLOW_CITY, YELLOW_YEARS).select(F.lit("yellow").alias("service"), "pickup_zone"),
-        quality.work_time(inputs.fhvhv_trips(spark, sf), FHVHV_CITY, FHVHV_YEARS).select(F.lit("fhvhv").alias("service"), "pickup_zone"),
+        quality.work_time(inputs.fhvhv_rides(spark, sf), FHVHV_CITY, FHVHV_YEARS).select(F.lit("fhvhv").alias("service"), "pickup_zone"),
     ]
     return parts[0].unionByName(parts[1]).groupBy("service", "pickup_zone").agg(F.count(F.lit(1)).alias("trips"))
 
@@ -449,7 +449,7 @@ def cost_by_zone_hour(spark, sf):
     query(cost_sql("SELECT *, CAST(hour(request_datetime) AS INT) AS request_hour FROM fhvhv_trips", "trip_miles", "request_hour", (1.5, 6), (50, 100), "")),
 )
 def cost_by_request_hour(spark, sf):
-    return rounded(rollups.cost_by_zone_hour(inputs.fhvhv_trips(spark, sf), FHVHV_CITY), **COST_DIGITS)
+    return rounded(rollups.cost_by_zone_hour(inputs.fhvhv_rides(spark, sf), FHVHV_CITY), **COST_DIGITS)
 
 
 @register(
@@ -476,7 +476,7 @@ def trip_length_class(spark, sf):
     ),
 )
 def od_flows(spark, sf):
-    return rounded(rollups.od_flows(inputs.fhvhv_trips(spark, sf)), pct_of_all=6)
+    return rounded(rollups.od_flows(inputs.fhvhv_rides(spark, sf)), pct_of_all=6)
 
 
 @register(
@@ -486,7 +486,7 @@ def od_flows(spark, sf):
     ),
 )
 def od_flows_borough(spark, sf):
-    trips = inputs.fhvhv_trips(spark, sf)
+    trips = inputs.fhvhv_rides(spark, sf)
     return rounded(rollups.od_flows(trips, "pickup_borough", "dropoff_borough", None), pct_of_all=6)
 
 
@@ -495,7 +495,7 @@ def od_flows_borough(spark, sf):
     query("SELECT dropoff_zone, dropoff_borough, count(*) AS trips FROM fhvhv_trips GROUP BY 1, 2 ORDER BY trips DESC, dropoff_zone, dropoff_borough LIMIT 10"),
 )
 def busiest_zones(spark, sf):
-    return rollups.busiest(inputs.fhvhv_trips(spark, sf), ["dropoff_zone", "dropoff_borough"], 10)
+    return rollups.busiest(inputs.fhvhv_rides(spark, sf), ["dropoff_zone", "dropoff_borough"], 10)
 
 
 @register(

@@ -283,5 +283,5 @@ def sink_partitioned_roundtrip(spark, sf):
 )
 def sink_result_table(spark, sf):
     path = shared_folder(spark, "yearly")
-    sinks.result_table(spark, path, lambda: rollups.yearly_trend(inputs.fhvhv_trips(spark, sf), inputs.FHVHV_CITY))
+    sinks.result_table(spark, path, lambda: rollups.yearly_trend(inputs.fhvhv_rides(spark, sf), inputs.FHVHV_CITY))
     return sinks.result_table(spark, path, lambda: None)
