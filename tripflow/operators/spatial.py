@@ -10,6 +10,20 @@ from pyspark.sql.types import ArrayType, StructType
 from tripflow.sources.sinks import land
 
 
+#: Outlines that a task takes apart at most.
+ZONES_PER_TASK = 20_000
+
+
+def spread(zones: DataFrame) -> DataFrame:
+    """The rows dealt over tasks by their number, if they are many.
+
+    Outlines are few bytes in a file and many cells or edges once taken apart; a file read by one or two tasks
+    would leave all of that work, and its memory, to them.
+    """
+    tasks = math.ceil(zones.count() / ZONES_PER_TASK)
+    return zones.repartition(max(tasks, zones.sparkSession.sparkContext.defaultParallelism)) if tasks > 1 else zones
+
+
 # ---- parsing ----------------------------------------------------------------
 
 def _points(ring: Column) -> Column:
@@ -59,7 +73,7 @@ def _ring_edges(points: Column) -> Column:
 def zone_rings(zones: DataFrame, geometry: str = "geometry") -> DataFrame:
     """One row per ring: polygon number, ring number (0 is the shell) and points."""
     others = [c for c in zones.columns if c != geometry]
-    polygons = zones.select(*others, F.posexplode(rings_from_wkt(F.col(geometry))).alias("polygon", "_rings"))
+    polygons = spread(zones).select(*others, F.posexplode(rings_from_wkt(F.col(geometry))).alias("polygon", "_rings"))
     return polygons.select(*others, "polygon", F.posexplode("_rings").alias("ring", "points"))
 
 
@@ -100,7 +114,7 @@ def grid_cells(zones: DataFrame, geometry: str = "geometry", largest: float | No
         values = F.transform(F.col("_edges"), lambda e: pick(e[f"{axis}1"], e[f"{axis}2"]))
         return F.array_min(values) if pick is F.least else F.array_max(values)
 
-    boxed = zones.withColumn("_edges", edges).where(F.size("_edges") > 0)
+    boxed = spread(zones).withColumn("_edges", edges).where(F.size("_edges") > 0)
     boxed = boxed.withColumns({f"_{axis}{i}": bound(pick, axis) for axis in "xy" for i, pick in enumerate((F.least, F.greatest))})
     boxed = boxed.withColumn("_extent", F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))).where(F.col("_extent") > 0)
     top = F.lit(largest) if largest else boxed.agg(F.max("_extent")).scalar()
