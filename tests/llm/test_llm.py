@@ -473,3 +473,25 @@ def test_license_terms_are_cut_as_in_the_templates(spark):
     frame = spark.createDataFrame([(text,) for text in texts], "text string")
     for row in frame.select("text", licenses.terms_column(F.col("text")).alias("terms")).collect():
         assert row.terms == licenses.terms_of(row.text), row.text
+
+
+def test_selectors_take_as_many_ids_as_fit():
+    draw = np.random.default_rng(5)
+    for top, count in ((3, 700), (49_000, 2_000), (1 << 62, 600)):
+        values = (draw.random(count) ** 3 * top).astype(np.uint64)
+        words, firsts = token_files.encode(values)
+        expected, starts = [], []
+        for block in range(0, count, token_files.BLOCK):
+            starts.append(len(expected))
+            at, end = block, min(count, block + token_files.BLOCK)
+            while at < end:
+                inside = [int(v) for v in values[at:end]]
+                fit = [c for c in range(1, 15) if all(v.bit_length() <= token_files.WIDTHS[c] for v in inside[: token_files.COUNTS[c]])]
+                if not fit:
+                    expected += [token_files.ESCAPE, inside[0]]
+                    at += 1
+                    continue
+                size, width = int(token_files.COUNTS[fit[0]]), int(token_files.WIDTHS[fit[0]])
+                expected.append(fit[0] + sum(v << (4 + width * k) for k, v in enumerate(inside[:size])))
+                at += size
+        assert words.tolist() == expected and firsts.tolist() == starts

@@ -176,18 +176,20 @@ class TokenIds:
             if max(len(self.known), len(self.parts)) > self.keep:
                 self.known.clear()
                 self.parts.clear()
-            for at, ids in enumerate(found):
+            for at in [at for at, ids in enumerate(found) if ids is None]:
+                word = words[at]
+                ids = self.known.get(word)
                 if ids is None:
-                    word = words[at]
-                    ids = self.known.get(word)
-                    if ids is None:
+                    if self.keeps_space:
                         bare = word.removeprefix("\n")
-                        if self.keeps_space and bare.split() != [bare]:
+                        if bare.split() != [bare]:
                             return self._odd(text)
-                        ids = self._chunk(word if not self.keeps_space or bare != word else " " + word)
-                        if len(word) <= 64:
-                            self.known[word] = ids
-                    found[at] = ids
+                        ids = self._chunk(word if bare != word else " " + word)
+                    else:
+                        ids = self._chunk(word)
+                    if len(word) <= 64:
+                        self.known[word] = ids
+                found[at] = ids
         return first + b"".join(found)
 
 

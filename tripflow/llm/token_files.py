@@ -61,8 +61,10 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
     flat = np.zeros(blocks * block, np.uint64)
     flat[:count] = values
     grid[:, :block] = flat.reshape(blocks, block)
-    bits = bit_lengths(grid.reshape(-1)).reshape(grid.shape)
-    # The selector of a word that starts at an id: the one that takes most ids from there.
+    bits = np.ones(grid.shape, np.uint8)
+    bits[:, :block] = bit_lengths(flat).reshape(blocks, block)
+    # The selector of a word that starts at an id: the one that takes most ids from there. Where one fits, so do all above
+    # it, which take fewer and wider ids; so it is the escape less the number that fit.
     selector = np.full((blocks, block), ESCAPE, np.uint8)
     reach, window = 1, bits.copy()
     for code in range(14, 0, -1):
@@ -71,21 +73,25 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
             step = min(reach, size - reach)
             window = np.maximum(window[:, : window.shape[1] - step], window[:, step:])
             reach += step
-        fits = window[:, :block] <= WIDTHS[code]
+        fits = window[:, :block] <= int(WIDTHS[code])
         if not fits.any():  # then no longer and narrower word fits either
             break
-        selector[:, : fits.shape[1]][fits] = code
+        selector -= fits.view(np.uint8)
     ends = np.full(blocks, block)
     ends[-1] = count - (blocks - 1) * block
-    at, rows, steps = np.zeros(blocks, np.int64), np.arange(blocks), []
-    while len(rows):
-        chosen = selector[rows, at[rows]]
-        steps.append((rows, at[rows].copy(), chosen))
-        at[rows] += COUNTS[chosen]
-        rows = rows[at[rows] < ends[rows]]
-    row, start, code = (np.concatenate(part) for part in zip(*steps, strict=True))
-    order = np.argsort(row * block + start, kind="stable")
-    row, start, code = row[order], start[order], code[order].astype(np.int64)
+    # All blocks go on word by word; ``taken`` holds the selector at each id where a word starts.
+    chosen, taken = selector.reshape(-1), np.zeros(blocks * block, np.uint8)
+    at, ends = np.arange(blocks) * block, np.arange(blocks) * block + ends
+    while len(at):
+        now = chosen[at]
+        taken[at] = now
+        at = at + COUNTS[now]
+        stay = at < ends
+        at, ends = at[stay], ends[stay]
+    start = np.flatnonzero(taken)
+    code = taken[start].astype(np.int64)
+    row, source = start // block, grid.reshape(-1)
+    start = start + row * widest
     length = 1 + (code == ESCAPE)
     place = np.cumsum(length) - length
     words = np.zeros(int(length.sum()), np.uint64)
@@ -93,12 +99,13 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
         mine = np.flatnonzero(code == one)
         if one == ESCAPE:
             words[place[mine]] = ESCAPE
-            words[place[mine] + 1] = grid[row[mine], start[mine]]
+            words[place[mine] + 1] = source[start[mine]]
             continue
         size, width = int(COUNTS[one]), int(WIDTHS[one])
-        ids = grid[row[mine][:, None], start[mine][:, None] + np.arange(size)]
-        shifts = (4 + width * np.arange(size)).astype(np.uint64)
-        words[place[mine]] = np.bitwise_or.reduce(ids << shifts, axis=1) | np.uint64(one)
+        first, word = start[mine], np.full(len(mine), one, np.uint64)
+        for k in range(size):
+            word |= source[first + k] << np.uint64(4 + width * k)
+        words[place[mine]] = word
     firsts = place[np.searchsorted(row, np.arange(blocks))]
     return words, firsts.astype(np.uint32)
 
