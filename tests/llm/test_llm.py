@@ -495,3 +495,15 @@ def test_selectors_take_as_many_ids_as_fit():
                 expected.append(fit[0] + sum(v << (4 + width * k) for k, v in enumerate(inside[:size])))
                 at += size
         assert words.tolist() == expected and firsts.tolist() == starts
+
+
+def test_only_rows_that_may_lose_lines_are_flagged(spark):
+    schema = "doc_id long, source string, text string"
+    rows = [(i, "h" if i % 3 else None, f"text {i}") for i in range(400)] + [(None, None, None), (None, "h", "x")]
+    table = spark.createDataFrame(rows, schema)
+    some = table.where("doc_id % 40 = 7 or doc_id is null")
+    place = F.struct("doc_id", "source", "text")
+    got = Counter(map(tuple, quality.with_flag(table, place, some, place).collect()))
+    wanted = Counter((*row, row[0] is None or row[0] % 40 == 7) for row in rows)
+    assert got.keys() >= {row for row in wanted if row[3]} and sum(got.values()) == len(rows) and len(got.keys() - wanted.keys()) < 5
+    assert not quality.with_flag(table, place, some.limit(0), place).where("flag").count()
