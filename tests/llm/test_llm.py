@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tripflow.llm import chat, common, decontamination, html_text, licenses, near_dup, packing, pii, quality, repeats, token_files
+from tripflow.llm import chat, common, decontamination, graph, html_text, licenses, near_dup, packing, pii, quality, repeats, token_files
 from tripflow.llm.queries import tokenizer_file
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row long, span string"
@@ -507,3 +507,23 @@ def test_only_rows_that_may_lose_lines_are_flagged(spark):
     wanted = Counter((*row, row[0] is None or row[0] % 40 == 7) for row in rows)
     assert got.keys() >= {row for row in wanted if row[3]} and sum(got.values()) == len(rows) and len(got.keys() - wanted.keys()) < 5
     assert not quality.with_flag(table, place, some.limit(0), place).where("flag").count()
+
+
+def test_shingle_counts_do_not_hang_on_partitions(spark):
+    texts = [(i, " ".join(f"w{k}" for k in range(40)) + f" own{i}") for i in range(60)]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    words = near_dup.packed_words(table, near_dup.keyed(table).select("doc_id", "row_key"))
+    many = common.land(words.repartition(20), "many")
+    shingles, numbers = near_dup.frequent_shingles(many)
+    assert len(shingles) == 36 and set(numbers.tolist()) == {60} and (np.diff(shingles) > 0).all()
+
+
+def test_links_that_are_stars_need_no_round(spark):
+    def stars(rows):
+        return graph.are_stars(spark.createDataFrame(rows, "u long, v long"))
+
+    assert stars([(2, 1), (3, 1), (9, 4)]) and stars([])
+    assert not stars([(2, 1), (3, 2)]) and not stars([(3, 1), (3, 2)])
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 40), (50, 41), (60, 60)], "a long, b long")
+    got = {(r.node, r.component) for r in graph.components(links).collect()}
+    assert got == {(i, 0) for i in range(21)} | {(i, 40) for i in (40, 41, 50)}

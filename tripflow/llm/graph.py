@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from tripflow.llm.common import drop, land
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every ``u`` has one ``v``, and no ``v`` has one itself: then each ``v`` is the smallest node of its component."""
+    link, top = F.lit(1).alias("links"), F.lit(1).alias("top")
+    nodes = edges.select(F.col("u").alias("node"), link, F.lit(0).alias("top"))
+    nodes = nodes.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("links"), top))
+    counts = nodes.groupBy("node").agg(F.sum("links").alias("links"), F.max("top").alias("top"))
+    return counts.where("links > 1 or links = 1 and top = 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node``, ``component`` (smallest node reachable) for every node of ``links`` (a, b).
 
@@ -17,8 +26,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = land(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
     )
-    state = None
-    while True:
+    while not are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low"))
         large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
@@ -34,9 +42,5 @@ def components(links: DataFrame) -> DataFrame:
         stars = land(small, "stars")
         drop(edges)
         edges = stars
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == state:
-            break
-        state = seen
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct())

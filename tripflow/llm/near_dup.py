@@ -39,6 +39,9 @@ CROWD = 32
 SAMPLE = 20_000
 FREQUENT = 100_000
 GROUP_ROWS = 4_000
+#: Sampled documents of a counting task, and shingles it holds at once.
+TASK_DOCUMENTS = 1_000
+HELD = 2_000_000
 MULTIPLIERS = seeded(TREES * DEPTH, 7)[:, None]
 FEATURES = "doc_id long, row_key binary, n_shingles long, set_key binary, signature binary"
 
@@ -216,17 +219,29 @@ def open_regions(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, Data
 
 def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that recur in a sample of the documents, sorted, with their estimated numbers of documents."""
-    share = max(1, sets.count() // SAMPLE)
+    documents = sets.count()
+    share = max(1, documents // SAMPLE)
+
+    def counted(found):
+        shingles, numbers = np.unique(np.concatenate(found), return_counts=True)
+        return pd.DataFrame({"shingle": shingles, "n": numbers})
 
     def rows(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
+        """One count per shingle and task, or per ``HELD`` shingles."""
+        unpack, found, held = zstandard.ZstdDecompressor().decompress, [], 0
         for batch in batches:
-            if len(batch):
-                found = np.concatenate([set_of(unpack(words).split()).view(np.int64) for words in batch["words"]])
-                shingles, numbers = np.unique(found, return_counts=True)
-                yield pd.DataFrame({"shingle": shingles, "n": numbers})
-
-    sample = sets.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("words")
+            for words in batch["words"]:
+                found.append(set_of(unpack(words).split()).view(np.int64))
+                held += len(found[-1])
+                if held > HELD:
+                    yield counted(found)
+                    found, held = [], 0
+        if found:
+            yield counted(found)
+
+    # Tasks by the number of documents: what many small files hold in common is counted in few rows.
+    tasks = -(-documents // (share * TASK_DOCUMENTS)) or 1
+    sample = sets.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("words").repartition(tasks)
     counts = sample.mapInPandas(rows, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2")
     found = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
     found = np.array([(row["shingle"], row["n"] * share) for row in found], np.int64).reshape(-1, 2)
