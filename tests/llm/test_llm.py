@@ -326,6 +326,20 @@ def test_near_duplicates_of_a_crowded_template(spark):
     assert got == {doc: partner.get(doc, doc) for doc, _ in rows}
 
 
+def test_rounds_of_heads_end_by_their_yield_and_lose_no_link(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    rows = [(i, [f"t{k}" for k in range(300)] + [f"o{i}.{k}" for k in range(33)]) for i in range(120)]  # 0.80 to each other
+    partner = {1000 + i: int(a) for i, a in enumerate(draw.choice(120, 12, replace=False))}
+    rows += [(b, rows[a][1][:-22] + [f"p{b}.{k}" for k in range(22)]) for b, a in partner.items()]  # 0.86 to one
+    names, land = [], near_dup.land
+    monkeypatch.setattr(near_dup, "land", lambda df, name: names.append(name) or land(df, name))
+    monkeypatch.setattr(near_dup, "TRIES_PER_LINK", 1)
+    table = spark.createDataFrame([(doc, " ".join(words)) for doc, words in rows], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(table).collect()}
+    assert got == {doc: partner.get(doc, doc) for doc, _ in rows}
+    assert names.count("tries") == 1
+
+
 def test_near_duplicates_link_null_and_repeated_ids(spark):
     draw = np.random.default_rng(12)
     w, v = ([f"{name}{i}" for i in draw.permutation(300)] for name in "wv")

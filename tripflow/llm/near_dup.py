@@ -4,9 +4,9 @@ Documents with equal shingle sets fall together first (a partial aggregate). The
 are sorted in ``TREES`` orders, each by its own ``DEPTH`` values of the signature. Rows
 that share at least ``LEAST`` leading values form a region. Candidates are, in turn:
 each document's most frequent neighbour over all orders, the central document of each
-region against the region's other components (repeated while that finds links), and
-what these left open: in regions of up to ``CROWD`` rows all pairs of different components, and
-for the documents of larger regions with several components an exact search (``crowd_pairs``).
+region against the region's other components (repeated while one of ``TRIES_PER_LINK`` tries is
+a link, as this only saves the last two steps work), and what these left open, found links or not:
+in regions of up to ``CROWD`` rows all pairs of different components, and for the documents of larger regions with several components an exact search (``crowd_pairs``).
 So a link is missed only if its documents share no region in any order. Every candidate is
 confirmed on the full shingle sets, so a reported link is always right.
 
@@ -35,6 +35,8 @@ DEPTH = 8
 LEAST = 3
 #: Regions of more rows ask neighbours for one more common value per doubling, and are searched by shingles at last.
 CROWD = 32
+#: Heads of regions are tried for as long as one try in so many is a link.
+TRIES_PER_LINK = 100
 #: Documents whose shingles are counted, most shingles kept as frequent, and rows of a shingle in one group.
 SAMPLE = 20_000
 FREQUENT = 100_000
@@ -392,13 +394,17 @@ def link_regions(docs: DataFrame, distinct: DataFrame, percent: int) -> DataFram
         tries = placed.join(heads, ["tree", "region"]).where("component <> its")
         tries = land(ordered_pairs(tries.select(F.col("head").alias("a"), F.col("doc_id").alias("b"))), "tries")
         links = land(confirm(tries, sets, percent), "confirmed")
-        if links.isEmpty():
-            break
-        heads = heads.select(F.col("head").alias("doc_id")).distinct()
-        tried = land(heads if used is None else heads.unionByName(used).distinct(), "heads")
-        labels = relabel(labels, links)
+        found = links.count()
+        again = found * TRIES_PER_LINK > tries.count()
+        if again:
+            heads = heads.select(F.col("head").alias("doc_id")).distinct()
+            heads = land(heads if used is None else heads.unionByName(used).distinct(), "heads")
+        if found:
+            labels = relabel(labels, links)
         drop(used, tries, links)
-        used = tried
+        if not again:
+            break
+        used = heads
     placed, regions = open_regions(members, labels)
     few = land(placed.join(regions.where(f"size <= {CROWD}"), ["tree", "region"]).drop("size", "central"), "few")
     other = few.select("tree", "region", F.col("doc_id").alias("b"), F.col("component").alias("its"))
