@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripflow.llm import decontamination, near_dup, packing, pii, quality
-from tripflow.llm.common import land, read
+from tripflow.llm.common import TEXT_ROWS, few_files, land, read
 from tripflow.llm.queries import tokenizer_file
 
 #: Documents are copies from this similarity on, in per cent.
@@ -30,22 +30,24 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "near_dup_row")
     first = rows.select("doc_id", "near_dup_row").join(groups, "near_dup_row").groupBy("component_id").agg(F.min(place).alias("first"))
     kept = first.select("first.near_dup_row")
-    return rows.join(kept, "near_dup_row", "left_semi").select(docs.columns)
+    return few_files(rows.join(kept, "near_dup_row", "left_semi").select(docs.columns), rows.count(), TEXT_ROWS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item."""
-    return decontamination.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
+    clean = decontamination.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
+    return few_files(clean, docs.count(), TEXT_ROWS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data in the texts by its kind."""
-    return pii.redact(docs)
+    return few_files(pii.redact(docs), docs.count(), TEXT_ROWS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place the token pieces of all documents in sequences of 1024."""
-    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    packed = packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    return few_files(packed, docs.count(), TEXT_ROWS)
 
 
 STAGES = [

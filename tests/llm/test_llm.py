@@ -340,6 +340,30 @@ def test_rounds_of_heads_end_by_their_yield_and_lose_no_link(spark, monkeypatch)
     assert names.count("tries") == 1
 
 
+def test_pipeline_writes_few_files_of_many_partitions(spark, sf, monkeypatch):
+    import corpus_pipeline
+
+    files, land = Counter(), common.land
+
+    def counted(df, name):
+        table = land(df, name)
+        files[name] = max(files[name], len(table.inputFiles()))
+        return table
+
+    for module in (decontamination, graph, near_dup, pii, quality, corpus_pipeline):
+        monkeypatch.setattr(module, "land", counted)
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        corpus_pipeline.run(spark, sf)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    most = 2 * spark.sparkContext.defaultParallelism
+    assert {"labels", "links", "members", "sets", "stage-packing"} <= set(files)
+    assert {name: n for name, n in files.items() if n > most} == {}
+
+
 def test_near_duplicates_link_null_and_repeated_ids(spark):
     draw = np.random.default_rng(12)
     w, v = ([f"{name}{i}" for i in draw.permutation(300)] for name in "wv")

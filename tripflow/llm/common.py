@@ -19,6 +19,8 @@ ODD_SPACE = "\x1c\x1d\x1e\x1f"
 PLAIN = re.compile("( ?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@[-`{-~]*)")
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
+#: Rows that fill a file of ids and numbers, and one of texts.
+ID_ROWS, TEXT_ROWS = 100_000, 2_000
 #: Where each landed table lies.
 FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -33,6 +35,18 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return landed
 
 
+def few_files(df: DataFrame, rows: int | None, each: int = ID_ROWS) -> DataFrame:
+    """The table in no more partitions than about ``rows`` rows fill with ``each``, but two per core; fewer stay as they are,
+    and so do those of a table of unknown size.
+
+    Written, each partition is a file, and on a folder without native calls each file has the executor fork several
+    times. Nothing is shuffled; where adaptive execution merges small partitions, there are fewer already.
+    """
+    if rows is None:
+        return df
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Delete landed tables that no frame still to be evaluated reads; anything else is left alone."""
     for table in tables:

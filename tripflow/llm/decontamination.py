@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripflow.llm.common import SHINGLE_WORDS, land, shingle_hashes, word_hashes
+from tripflow.llm.common import SHINGLE_WORDS, TEXT_ROWS, few_files, land, shingle_hashes, word_hashes
 
 WORD = re.compile(r"\w+")
 OVERLAP = 80
@@ -246,8 +246,8 @@ def text_key():
     return F.unhex(F.md5("text"))
 
 
-def item_table(benchmark: DataFrame, buckets: int) -> DataFrame:
-    """item_id, text, bucket, number of words and distinct terms of every different item with a word."""
+def item_table(benchmark: DataFrame, buckets: int, number: int) -> DataFrame:
+    """item_id, text, bucket, number of words and distinct terms of every different item with a word, of ``number`` rows."""
 
     def rows(batches):
         for batch in batches:
@@ -262,16 +262,17 @@ def item_table(benchmark: DataFrame, buckets: int) -> DataFrame:
         lambda batches: rows(batch.astype({"item_id": "Int64"}) for batch in batches),
         "item_id long, text string, bucket long, n_words long, terms array<string>",
     )
-    return land(counted, "items")
+    return land(few_files(counted, number, TEXT_ROWS), "items")
 
 
 def all_matches(docs: DataFrame, benchmark: DataFrame, threshold: float, index_bytes: int) -> DataFrame:
     """The matches of all items, each part of them searched and written before the next one's index is built."""
     context = docs.sparkSession.sparkContext
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    items = item_table(benchmark, BUCKETS * max(1, -(-size // index_bytes)))
+    size, rows = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    items = item_table(benchmark, BUCKETS * max(1, -(-size // index_bytes)), rows)
     number, mean = items.agg(F.count("*"), F.avg("n_words")).first()
-    frequency = land(items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")), "frequency")
+    frequency = items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    frequency = land(few_files(frequency, size // 2), "frequency")  # a term has a letter and a gap at least
     parts: list[list[int]] = []
     room = 0
     for bucket, held in sorted(items.groupBy("bucket").agg(F.sum(F.octet_length("text"))).collect()):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripflow.llm.common import drop, land
+from tripflow.llm.common import drop, few_files, land
 
 
 def are_stars(edges: DataFrame) -> bool:
@@ -17,15 +17,14 @@ def are_stars(edges: DataFrame) -> bool:
     return counts.where("links > 1 or links = 1 and top = 1").isEmpty()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node``, ``component`` (smallest node reachable) for every node of ``links`` (a, b).
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
+    """``node``, ``component`` (smallest node reachable) for every node of ``links`` (a, b), which has not many more than ``rows`` rows.
 
     Needs a number of steps that grows with the logarithm of the longest path. A node
     with very many links is only ever reduced by partial aggregates and skew joins.
     """
-    edges = land(
-        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
-    )
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = land(few_files(edges, rows), "links")
     while not are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low"))
@@ -39,7 +38,7 @@ def components(links: DataFrame) -> DataFrame:
             .unionByName(least.withColumnRenamed("low", "v"))
             .distinct()
         )
-        stars = land(small, "stars")
+        stars = land(few_files(small, rows), "stars")
         drop(edges)
         edges = stars
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

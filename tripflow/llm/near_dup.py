@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripflow.llm.common import drop, land, seeded, shingle_hashes, word_hashes
+from tripflow.llm.common import TEXT_ROWS, drop, few_files, land, seeded, shingle_hashes, word_hashes
 from tripflow.llm.graph import components
 
 TREES = 16
@@ -194,16 +194,17 @@ def ordered_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Merge the components that new links join."""
+def relabel(labels: DataFrame, links: DataFrame, rows: int) -> DataFrame:
+    """Merge the components that new links join; neither table has many more than ``rows`` rows."""
     mapped = (
         links.join(labels.select(F.col("doc_id").alias("a"), F.col("component").alias("ca")), "a")
         .join(labels.select(F.col("doc_id").alias("b"), F.col("component").alias("cb")), "b")
         .select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     )
-    roots = components(mapped).withColumnRenamed("component", "root")
+    roots = components(mapped, rows).withColumnRenamed("component", "root")
     joined = labels.join(roots, labels["component"] == roots["node"], "left")
-    merged = land(joined.select("doc_id", F.coalesce("root", "component").alias("component")), "labels")
+    merged = joined.select("doc_id", F.coalesce("root", "component").alias("component"))
+    merged = land(few_files(merged, rows), "labels")
     drop(labels)
     return merged
 
@@ -356,25 +357,29 @@ def crowd_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def link_regions(docs: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
     """Component of every set with a region: doc_id, component, from ``distinct`` (doc_id, row_key, signature)."""
-    rows = land(region_rows(distinct.select("doc_id", "signature")), "regions")
+    number = distinct.count()
+    most = TREES * number  # a row per order and set
+    rows = land(few_files(region_rows(distinct.select("doc_id", "signature")), most), "regions")
     size = rows.groupBy("tree", "region").agg(F.count("*").alias("size")).where("size > 1")
     # A region asks for one more common value per doubling beyond CROWD.
     depth = F.least(F.lit(DEPTH), LEAST + F.floor(F.log2(F.greatest("size", F.lit(CROWD)) / CROWD)))
-    members = land(rows.join(size, ["tree", "region"]).withColumn("linked", F.col("common") >= depth).drop("common"), "members")
+    members = rows.join(size, ["tree", "region"]).withColumn("linked", F.col("common") >= depth).drop("common")
+    members = land(few_files(members, most), "members")
     drop(rows)
     central = members.groupBy("doc_id").agg(F.sum("size").alias("central"))
     ids = distinct.select("doc_id", "row_key").join(central, "doc_id", "left_semi")
-    sets = land(packed_words(docs, ids), "sets")
+    sets = land(few_files(packed_words(docs, ids), number, TEXT_ROWS), "sets")
     labels = central.select("doc_id", F.col("doc_id").alias("component"))
     near = members.where("linked").select(F.least("doc_id", "next").alias("a"), F.greatest("doc_id", "next").alias("b"))
-    near = land(near.groupBy("a", "b").agg(F.count("*").alias("orders")), "neighbours")
+    near = land(few_files(near.groupBy("a", "b").agg(F.count("*").alias("orders")), most), "neighbours")
     sides = near.select("a", "b", "orders", F.col("a").alias("doc_id")).unionByName(
         near.select("a", "b", "orders", F.col("b").alias("doc_id"))
     )
     best = sides.groupBy("doc_id").agg(F.max(F.struct("orders", -F.col("a"), -F.col("b"), "a", "b")).alias("best"))
     first = best.select("best.a", "best.b").distinct()
-    labels = relabel(labels, confirm(first, sets, percent))
-    placed = land(members.join(central, "doc_id").select("tree", "region", "doc_id", "central"), "central")
+    labels = relabel(labels, confirm(first, sets, percent), most)
+    placed = members.join(central, "doc_id").select("tree", "region", "doc_id", "central")
+    placed = land(few_files(placed, most), "central")
     drop(members, near)
     members = placed
     used = None
@@ -392,27 +397,31 @@ def link_regions(docs: DataFrame, distinct: DataFrame, percent: int) -> DataFram
             .select("tree", "region", F.col("head.doc_id").alias("head"), F.col("head.component").alias("its"))
         )
         tries = placed.join(heads, ["tree", "region"]).where("component <> its")
-        tries = land(ordered_pairs(tries.select(F.col("head").alias("a"), F.col("doc_id").alias("b"))), "tries")
-        links = land(confirm(tries, sets, percent), "confirmed")
+        tries = ordered_pairs(tries.select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
+        tries = land(few_files(tries, most), "tries")
+        tested = tries.count()
+        links = land(few_files(confirm(tries, sets, percent), tested, TEXT_ROWS), "confirmed")
         found = links.count()
-        again = found * TRIES_PER_LINK > tries.count()
+        again = found * TRIES_PER_LINK > tested
         if again:
             heads = heads.select(F.col("head").alias("doc_id")).distinct()
-            heads = land(heads if used is None else heads.unionByName(used).distinct(), "heads")
+            heads = land(few_files(heads if used is None else heads.unionByName(used).distinct(), number), "heads")
         if found:
-            labels = relabel(labels, links)
+            labels = relabel(labels, links, most)
         drop(used, tries, links)
         if not again:
             break
         used = heads
     placed, regions = open_regions(members, labels)
-    few = land(placed.join(regions.where(f"size <= {CROWD}"), ["tree", "region"]).drop("size", "central"), "few")
+    few = placed.join(regions.where(f"size <= {CROWD}"), ["tree", "region"]).drop("size", "central")
+    few = land(few_files(few, most), "few")
     other = few.select("tree", "region", F.col("doc_id").alias("b"), F.col("component").alias("its"))
     rest = few.join(other, ["tree", "region"]).where("doc_id < b and component <> its")
-    labels = relabel(labels, confirm(rest.select(F.col("doc_id").alias("a"), "b").distinct(), sets, percent))
+    labels = relabel(labels, confirm(rest.select(F.col("doc_id").alias("a"), "b").distinct(), sets, percent), most)
     placed, regions = open_regions(members, labels)
     crowd = placed.join(regions.where(f"size > {CROWD}"), ["tree", "region"]).select("doc_id", "component").distinct()
-    return relabel(labels, confirm(crowd_pairs(land(crowd, "crowd"), sets, percent), sets, percent))
+    crowd = land(few_files(crowd, number), "crowd")
+    return relabel(labels, confirm(crowd_pairs(crowd, sets, percent), sets, percent), most)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -420,6 +429,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     found = land(features(docs), "features")
     groups = found.where("set_key is not null").groupBy("set_key")
     groups = groups.agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.first("signature").alias("signature"))
+    groups = few_files(groups, found.count(), TEXT_ROWS)
     groups = land(groups.withColumn("doc_id", F.monotonically_increasing_id()), "distinct")
     labels = link_regions(docs, groups.select("doc_id", "row_key", "signature"), percent)
     classes = groups.select("set_key", "doc_id", "least").join(labels, "doc_id", "left")

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripflow.llm.common import land
+from tripflow.llm.common import TEXT_ROWS, few_files, land
 
 # Fixed patterns. Possessive repeats match the same strings as greedy ones here and need no stack.
 EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -201,7 +201,7 @@ def place_spans(landed: DataFrame) -> DataFrame:
 def detect(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found (array), kept columns."""
     landed = candidates(docs, keep)
-    placed = land(place_spans(landed), "spans")
+    placed = land(few_files(place_spans(landed), landed.count(), TEXT_ROWS), "spans")
     counts = [
         row.asDict() for row in placed.groupBy("kind", *VOTES).agg(F.count("*").alias("n")).orderBy("kind", *VOTES).collect()
     ]

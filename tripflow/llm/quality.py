@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripflow.llm.common import drop, land, shingle_hashes, word_hashes
+from tripflow.llm.common import TEXT_ROWS, drop, few_files, land, shingle_hashes, word_hashes
 
 LINE_LIMIT = 20
 DEPLETED = 80
@@ -151,14 +151,16 @@ def clean_documents(docs: DataFrame, host: str = "source", limit: int = LINE_LIM
     )
     keys = ["doc_id", "host", "text_key"]
     changed = judged.select("row", *keys).join(lost, "row").dropDuplicates(keys)
-    changed = land(changed.select(F.struct(*keys).alias("of"), F.col("lost").alias("n_removed_words"), "gone"), "changed")
+    changed = changed.select(F.struct(*keys).alias("of"), F.col("lost").alias("n_removed_words"), "gone")
+    number = judged.count()
+    changed = land(few_files(changed, number, TEXT_ROWS), "changed")
     drop(judged)
     own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), text_key().alias("text_key"))
     # Only texts that may lose lines travel.
     flagged = with_flag(docs, own, changed, F.col("of"))
     whole = flagged.where(~F.col("flag")).select(*docs.columns, F.lit(0).cast("long").alias("n_removed_words"), F.lit(None).cast("array<string>").alias("gone"))
     moved = flagged.where("flag").join(changed, F.col("of") == own, "left").select(*docs.columns, "n_removed_words", "gone")
-    judged = whole.unionByName(moved).withColumns(
+    judged = whole.unionByName(few_files(moved, number, TEXT_ROWS)).withColumns(
         {"n_removed_words": F.coalesce("n_removed_words", F.lit(0).cast("long")), "counts": base_counts(F.coalesce("text", F.lit("")))}
     )
     count = {name: F.col(f"counts.{name}") for name in COUNTS}
